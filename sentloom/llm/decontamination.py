@@ -1,9 +1,10 @@
 """Op 1. Benchmark decontamination by BM25 with block-max WAND.
 
 Test items are in an inverted index with impacts in blocks; every passage of every text is a query. An item's impacts are divided by
-the score it gives itself, so one threshold serves all. Upper bounds of whole passages, the first test that WAND
-makes, are computed for all passages at once; what passes goes through block-max WAND. What that retrieves is
-verified by the overlap of word n-grams with the item's question and with its answer.
+the score it gives itself, so one threshold serves all. Bounds are tested for all passages at once: what an item's common
+terms can add is known from the index, and the rest must come from its rare terms. Passages where that suffices
+for some item go through block-max WAND. What that retrieves is verified by the overlap of word n-grams with the
+item's question and with its answer.
 """
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ from .kernel import PUNCT, Words, chunks, column
 
 INDEX_BYTES = 8 << 20  # texts of test items in one index; more items make more indexes, one after another
 BLOCK = 32
+COMMON = 0.3  # share of its own score that an item's common terms may have; below any useful threshold
 
 
 def question_and_answer(text: str) -> tuple[str, str]:
@@ -60,6 +62,11 @@ class Index:
     ids: list[int]
     parts: list[tuple[set, int, set, int]]  # question n-grams and n, answer n-grams and n
     longest: int
+    rare: np.ndarray  # of each term, whether it is rare
+    common: np.ndarray  # of each item, the most that its other terms add to a score
+    at: np.ndarray  # cuts of the flat postings below
+    items: np.ndarray
+    impacts: np.ndarray
 
     @staticmethod
     def build(ids: list[int], texts: list[str], k1: float = 1.2, b: float = 0.75) -> Index:
@@ -90,7 +97,32 @@ class Index:
             nq, na = min(3, max(1, len(q))), min(3, max(1, len(a)))
             parts.append((ngrams(q, nq), nq, ngrams(a, na), na))
         bound = np.array([max(p[1]) for p in postings])
-        return Index(terms, bound, postings, ids, parts, int(size.max(initial=1)))
+        at = np.concatenate([[0], np.cumsum([len(p[0]) for p in postings])]).astype(np.int64)
+        items = np.array([d for p in postings for d in p[0]], np.int64)
+        impacts = np.array([i for p in postings for i in p[1]])
+        rare, common = np.ones(len(terms), bool), np.zeros(len(ids))
+        for t in np.argsort(-np.diff(at), kind="stable").tolist():  # the most frequent first
+            of = items[at[t] : at[t + 1]]
+            more = common[of] + impacts[at[t] : at[t + 1]]
+            if (more <= COMMON).all():
+                common[of] = more
+                rare[t] = False
+        return Index(terms, bound, postings, ids, parts, int(size.max(initial=1)), rare, common, at, items, impacts)
+
+    def possible(self, place: np.ndarray, rare: np.ndarray, begin: np.ndarray, end: np.ndarray, threshold: float) -> np.ndarray:
+        """Passages of which an item may reach the threshold: its rare terms there, and all its common ones."""
+        where = np.flatnonzero(rare)
+        lo, hi = np.searchsorted(where, begin), np.searchsorted(where, end)
+        size = hi - lo
+        token = np.repeat(lo - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+        pairs = np.unique(np.repeat(np.arange(len(begin)), size) * len(self.terms) + place[where[token]])
+        passage, term = pairs // len(self.terms), pairs % len(self.terms)
+        size = self.at[term + 1] - self.at[term]
+        flat = np.repeat(self.at[term] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+        code, which = np.unique(np.repeat(passage, size) * len(self.ids) + self.items[flat], return_inverse=True)
+        total = np.bincount(which, weights=self.impacts[flat], minlength=len(code))
+        live = total + self.common[code % len(self.ids)] >= threshold - 1e-9
+        return np.unique(code[live] // len(self.ids))
 
     def search(self, query: list[int], threshold: float) -> list[tuple[int, float]]:
         """All (item, score) of at least threshold for distinct terms `query`, by block-max WAND."""
@@ -140,14 +172,13 @@ class Index:
         place = np.searchsorted(self.terms, w.hash)
         place[place == len(self.terms)] = 0
         known = self.terms[place] == w.hash
-        sums = np.concatenate([[0.0], np.cumsum(np.where(known, self.bound[place], 0.0))])
         stride = max(64, self.longest)
         count = np.diff(w.first)
         per = np.maximum(1, -(-count // stride) - 1) * (count > 0)  # any `longest` words in a row are within one passage
         text = np.repeat(np.arange(j - i), per)
         begin = w.first[:-1][text] + stride * (np.arange(len(text)) - np.repeat(np.cumsum(per) - per, per))
         end = np.minimum(begin + 2 * stride, w.first[1:][text])
-        live = np.flatnonzero(sums[end] - sums[begin] >= threshold - 1e-9)
+        live = self.possible(place, known & self.rare[place], begin, end, threshold)
         best: dict[tuple[int, int], tuple[float, float, float]] = {}
         for p in live.tolist():
             a, b = int(begin[p]), int(end[p])
