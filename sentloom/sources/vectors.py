@@ -5,7 +5,7 @@ from __future__ import annotations
 import dataclasses
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, Window as W
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -48,7 +48,9 @@ def word_vectors(vocab: DataFrame, ngrams: DataFrame | None = None, min_n: int =
     if "count" not in kinds:
         vocab = vocab.withColumn("count", F.lit(1).cast("long"))
     if "index" not in kinds:
-        vocab = vocab.withColumn("index", F.row_number().over(W.orderBy(F.desc("count"), "word")) - 1)
+        from ..operators.ordering import numbered
+
+        vocab = numbered(vocab, "index", F.desc("count"), F.col("word"))
     vocab = vocab.withColumn("index", F.col("index").cast("int")).withColumn("count", F.col("count").cast("long"))
     got = vocab.agg(F.count(F.lit(1)).alias("n"), F.min(F.size("vector")).alias("lo"), F.max(F.size("vector")).alias("hi")).first()
     if not got["n"]:

@@ -7,8 +7,8 @@ from sentloom.operators import averaging, linalg, validation, vocabulary
 from sentloom.operators.estimators import AverageEmbedding, EmbeddingModel, SIFEmbedding, USIFEmbedding
 from sentloom.sources.vectors import WordVectors, word_vectors
 
-SENTENCES = ["They admit", "So Apple bought buds", "go 12345", "pull 12345678910111213", "", "the the of the"]
-WORDS = ["the", "of", "They", "admit", "So", "Apple", "bought", "buds", "go"]
+SENTENCES = ["We agree", "Then Rosa sold plums", "run 12345", "push 12345678910111213", "", "the the of the"]
+WORDS = ["the", "of", "We", "agree", "Then", "Rosa", "sold", "plums", "run"]
 
 
 @pytest.fixture(scope="module")
@@ -124,7 +124,7 @@ def test_induced(spark):
 
 def test_vocabulary(spark, docs):
     got = vocabulary.build_vocabulary(docs).orderBy("index").collect()
-    assert (got[0]["word"], got[0]["count"]) == ("the", 3) and [r["word"] for r in got[1:4]] == ["12345", "12345678910111213", "Apple"]
+    assert (got[0]["word"], got[0]["count"]) == ("the", 3) and [r["word"] for r in got[1:4]] == ["12345", "12345678910111213", "Rosa"]
 
 
 def frame(spark, x):
