@@ -156,7 +156,8 @@ def _pass(docs: DataFrame, model: Hmm) -> np.ndarray:
 
 
 def train(docs: DataFrame, states: int = STATES, n: int = CLASSES, passes: int = PASSES, start_rows: int = START_ROWS, start_passes: int = START_PASSES) -> Hmm:
-    """Baum-Welch over every row of docs, `passes` times, from a start that `start_rows` rows (those with the least hashes) give."""
+    """Baum-Welch over every row of docs, `passes` times, from a start that `start_rows` rows of at most 8,000 characters
+    (those with the least hashes of doc_id) give; the start only sets where the passes over all rows begin."""
     model = initial(states, n)
     few = X.corpus(docs).where(F.length(X.TEXT) <= 8000).orderBy(F.xxhash64(X.DOC), X.DOC).limit(start_rows).select(X.TEXT).toArrow()
     if few.num_rows:

@@ -49,7 +49,7 @@ def test_run_and_edges(spark, tmp_path):
     assert p.run(spark, str(tmp_path)).count() == 0
 
 
-@pytest.mark.parametrize("name", ["op4_line_dedup", "op6_exact_dedup"])
+@pytest.mark.parametrize("name", ["op4_line_dedup", "op5_substring_dedup", "op6_exact_dedup", "op8_near_dedup"])
 def test_sql(spark, name):
     from sentloom.llm.queries import ORACLE, QUERIES
 
