@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import DataFrame, Window as W
 from pyspark.sql import functions as F
 
@@ -32,6 +34,8 @@ def _totals(vocab: DataFrame) -> tuple[int, int]:
         raise ValueError("a word has a negative count")
     if not got["s"]:
         raise RuntimeError("words have no counts")
+    if got["s"] == got["n"]:
+        warnings.warn("every word has a count of 1: frequencies are missing, and weights will be alike", stacklevel=3)
     return int(got["s"]), int(got["n"])
 
 
