@@ -2,7 +2,8 @@
 
 Two plans give the same numbers. Vectors of a checked size go to every task, where a batch of sentences is looked up, gathered
 and summed without a shuffle. Larger ones are joined: tokens are counted within each sentence first, so a
-frequent word costs a row a sentence, and words of very many sentences are spread by salt.
+frequent word costs a row a sentence; the most frequent words are few and go to every task, so no word of the
+shuffled rest is hot.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from ..functions.subword import MAX_NGRAMS, buckets
 from ..sources.vectors import BROADCAST_BYTES, WordVectors
 
 STEP = 1 << 15  # tokens whose vectors are gathered at once
-SALTS = 16
+HOT_WORDS = 4096  # the most frequent words, whose vectors are always sent along
 
 
 def spread(df: DataFrame) -> DataFrame:
@@ -33,8 +34,8 @@ def spread(df: DataFrame) -> DataFrame:
 class _Table:
     """Words and their weighted vectors in one process."""
 
-    def __init__(self, words: pa.Array, vectors: np.ndarray, weights: np.ndarray, extra: dict | None = None):
-        self.words, self.vectors, self.weights, self.extra = words, vectors * weights[:, None], weights, extra or {}
+    def __init__(self, words: pa.Array, vectors: np.ndarray, weights: np.ndarray):
+        self.words, self.vectors = words, vectors * weights[:, None]
 
     @staticmethod
     def of(wv: WordVectors) -> _Table:
@@ -112,8 +113,11 @@ def _sums_joined(corpus: DataFrame, wv: WordVectors, keep: list[str], most_words
     if wv.bytes <= BROADCAST_BYTES:
         met = counted.join(F.broadcast(vocab), "word")
     else:
-        salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt")
-        met = counted.withColumn("_salt", F.pmod(F.xxhash64("_s"), F.lit(SALTS)).cast("int")).join(vocab.select("*", salts), ["word", "_salt"])
+        rank = F.col("index") if "index" in wv.vocab.columns else F.lit(None).cast("int")
+        ranked = wv.vocab.select("word", "vector", F.col("weight").cast("double").alias("weight"), F.coalesce(rank < HOT_WORDS, F.lit(False)).alias("_hot"))
+        hot = F.broadcast(ranked.where("_hot").drop("_hot"))
+        cold = counted.join(hot.select("word"), "word", "left_anti").join(ranked.where("not _hot").drop("_hot"), "word")
+        met = counted.join(hot, "word").unionByName(cold)
     part = met.select("_s", "tf", F.posexplode(F.transform("vector", lambda x: x.cast("double") * F.col("weight") * F.col("tf"))).alias("_d", "x"))
     dims = part.groupBy("_s", "_d").agg(F.sum("x").alias("x"), F.sum("tf").alias("known"))
     sums = dims.groupBy("_s").agg(F.sort_array(F.collect_list(F.struct("_d", "x"))).alias("l"), F.max("known").alias("known"))  # a row has as many entries as a vector
@@ -132,8 +136,8 @@ def with_unknown(corpus: DataFrame, wv: WordVectors, most_ngrams: int = MAX_NGRA
     table = wv.ngrams.select(F.col("bucket_id").cast("long").alias("bucket_id"), F.col("vector").cast("array<double>").alias("vector"))
     made = grams.join(table, "bucket_id").groupBy("word").agg(_sum_of("vector").alias("vector"), F.first("g").alias("g"))
     made = made.select("word", F.transform("vector", lambda x: x / F.col("g")).alias("vector"), F.lit(top).alias("weight"))
-    vocab = wv.vocab.select("word", F.col("vector").cast("array<double>").alias("vector"), F.col("weight").cast("double").alias("weight"))
-    return WordVectors(vocab.unionByName(made), wv.size, wv.words + lost.count())
+    vocab = wv.vocab.select("word", F.col("vector").cast("array<double>").alias("vector"), F.col("weight").cast("double").alias("weight"), "index")
+    return WordVectors(vocab.unionByName(made, allowMissingColumns=True), wv.size, wv.words + lost.count())
 
 
 def _sum_of(column: str) -> Column:

@@ -9,11 +9,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.arrays import EPS, literal
+from ..functions.arrays import EPS
 from ..functions.subword import char_ngrams, fnv
 from ..functions.text import benchmark_words, words
 from ..operators import linalg, similarity, validation, vocabulary
-from ..operators.averaging import averages, mean, sentence_sums, spread
+from ..operators.averaging import averages, sentence_sums, spread
 from ..operators.estimators import AverageEmbedding, SIFEmbedding, USIFEmbedding
 from ..operators.evaluation import pearson
 from ..sources.corpus import scratch
@@ -401,5 +401,3 @@ def pearson_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = similarity.pair_scores(v.select("idx", "vector"), v.select("idx", "vector"), 1)
     return pearson(s.join(gold, "idx")).select(F.round("pearson", 5).alias("pearson"))
 
-
-__all__ = ["ORACLE", "QUERIES", "literal", "mean"]
