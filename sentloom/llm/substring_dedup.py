@@ -19,6 +19,7 @@ from .kernel import Words, chunks, column, minimizers
 
 OUT = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_text", pa.string())])
 LOWEST = -(2**63)
+BUCKET_BYTES = X.BUCKET_BYTES
 
 
 def _levels(window: int) -> list[int]:
@@ -98,7 +99,7 @@ def substring_dedup(docs: DataFrame, window: int = 13) -> DataFrame:
     one document and remove nothing from each other. Other columns of docs are ignored. Sequences are equal when
     their 64-bit fingerprints are.
     """
-    n = X.buckets_for(docs)
+    n = X.buckets_for(docs, BUCKET_BYTES)
     rows = X.bucketed(docs, n)
     owners = n
 

@@ -22,6 +22,7 @@ from .kernel import BYTE, U, chunks, column, minimizers, mix, prefix, span, wind
 
 GRAM = 32
 HOT = 4096
+BUCKET_BYTES = 8 << 20  # regions and their flags take several times a bucket's bytes
 OUT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("spans", pa.list_(pa.int64())), ("kept", pa.binary())])
 SEND = pa.schema([("_bucket", pa.int32()), ("owner", pa.int32()), ("hot", pa.bool_()), ("n", pa.int32()), ("keys", pa.binary()), ("lengths", pa.binary()), ("counts", pa.binary()), ("regions", pa.binary())])
 SEND_SQL = "_bucket int, owner int, hot boolean, n int, keys binary, lengths binary, counts binary, regions binary"
@@ -270,18 +271,36 @@ def _decide(regions: list[bytes], keys: np.ndarray, counts: np.ndarray, width: i
     return flags
 
 
+def _covered(start: np.ndarray, bounds: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of marked starts of strings: how many run bounds each text has, these (from the text's first byte), and which bytes are covered."""
+    seen = np.cumsum(start, dtype=np.int32)
+    seen[width:] -= seen[:-width].copy() if len(seen) > width else seen[:0]
+    gone = seen > 0
+    edges = np.flatnonzero(np.diff(gone.astype(np.int8), prepend=0, append=0))
+    inner = bounds[1:-1]
+    same = np.unique(inner[(inner > 0) & (inner < len(gone))])
+    both = same[gone[same] & gone[same - 1]]  # a run that reaches a text's end ends there
+    edges = np.sort(np.concatenate([edges, both, both]))
+    starts, ends = edges[0::2], edges[1::2]
+    of = np.searchsorted(bounds, starts, "right") - 1
+    flat = np.empty(2 * len(starts), np.int64)
+    flat[0::2], flat[1::2] = starts - bounds[of], ends - bounds[of]
+    return np.bincount(of, minlength=len(bounds) - 1) * 2, flat, gone
+
+
 # ---- the operator -----------------------------------------------------------------------------------------------
 
 
-def suffix_dedup(docs: DataFrame, width: int = 400) -> DataFrame:
+def suffix_dedup(docs: DataFrame, width: int = 400, hot: int = HOT) -> DataFrame:
     """Removes every byte covered by a string of `width` bytes that also starts anywhere else, the same text included.
 
     Texts are UTF-8 bytes; strings never cross texts, overlaps count, and all copies go. Returns doc_id, n_bytes, spans
     (starts and ends of the maximal removed runs, flat) and kept (the remaining bytes, which need not be valid UTF-8),
     one row for each input row. A null or empty text has no bytes; texts shorter than `width` stay whole. Repeated rows
-    are texts of their own, so their strings repeat. Other columns are ignored.
+    are texts of their own, so their strings repeat. Other columns are ignored. Strings in segments whose core more than `hot`
+    segments have are equal when their 64-bit fingerprints are.
     """
-    n = X.buckets_for(docs)
+    n = X.buckets_for(docs, BUCKET_BYTES)
     rows = X.bucketed(docs, n)
     owners = n
 
@@ -293,7 +312,7 @@ def suffix_dedup(docs: DataFrame, width: int = 400) -> DataFrame:
         keys, cuts, extra = X.received(table)
         _, which = np.unique(keys, return_inverse=True)
         total = np.bincount(which, weights=np.frombuffer(b"".join(extra), np.uint16))
-        code = ((total > 1).astype(np.uint8) + (total > HOT))[which]
+        code = ((total > 1).astype(np.uint8) + (total > hot))[which]
         return X.answers(table, [code[a:b].astype(np.uint8).tobytes() for a, b in zip(cuts[:-1], cuts[1:])])
 
     def send(table: pa.Table, said: pa.Table) -> pa.Table:
@@ -314,11 +333,11 @@ def suffix_dedup(docs: DataFrame, width: int = 400) -> DataFrame:
         return pa.table([pa.array(c, f.type) for c, f in zip(zip(*out), SEND)], schema=SEND) if out else SEND.empty_table()
 
     def judge(table: pa.Table) -> pa.Table:
-        hot = table.column("hot").to_numpy(zero_copy_only=False)
+        spread = table.column("hot").to_numpy(zero_copy_only=False).astype(bool)
         keys = [np.frombuffer(x, U) for x in table.column("keys").to_pylist()]
         counts = [np.frombuffer(x, np.uint8) for x in table.column("counts").to_pylist()]
         result: list[bytes] = [b""] * table.num_rows
-        rows_hot = np.flatnonzero(hot)
+        rows_hot = np.flatnonzero(spread)
         if len(rows_hot):
             _, which = np.unique(np.concatenate([keys[r] for r in rows_hot]), return_inverse=True)
             total = np.bincount(which, weights=np.concatenate([counts[r] for r in rows_hot]))
@@ -327,7 +346,7 @@ def suffix_dedup(docs: DataFrame, width: int = 400) -> DataFrame:
                 result[r] = np.packbits(total[which[x:y]] > 1).tobytes()
         seen: dict[bytes, int] = {}
         numbers, all_keys, total = {}, [], []
-        for r in np.flatnonzero(~hot):
+        for r in np.flatnonzero(~spread):
             lengths = np.frombuffer(table.column("lengths")[r].as_py(), np.int32)
             blob, at, own = table.column("regions")[r].as_py(), 0, []
             for k, length, c in zip(keys[r].tolist(), lengths.tolist(), counts[r].tolist()):
@@ -351,39 +370,39 @@ def suffix_dedup(docs: DataFrame, width: int = 400) -> DataFrame:
         b, code = _Bucket(table, width), _codes(said.filter(pa.array(level == 1)))
         told = said.filter(pa.array(level == 2))
         is_hot = told.column("hot").to_numpy(zero_copy_only=False).astype(bool) if told.num_rows else np.empty(0, bool)
-        start = np.zeros(len(b.data) + width + 1, np.int32)
         segs, number, regions, keys, _ = b.regions(code)
         sizes = np.fromiter((len(r) - width + 1 for r in regions), np.int64, len(regions))
+        del regions
         _, cuts = X.split(keys, owners)
         flags = [np.unpackbits(np.frombuffer(blob, np.uint8), count=int(sizes[x:y].sum())) for (_, blob), x, y in zip(X.by_owner(told.filter(pa.array(~is_hot))), cuts[:-1], cuts[1:])]
         flags = np.concatenate(flags) if flags else np.empty(0, np.uint8)
-        begin = np.concatenate([[0], np.cumsum(sizes)])
-        for s, x in zip(segs, number):
-            start[b.lo[s] : b.hi[s] + 1] = flags[begin[x] : begin[x + 1]]
+        begin = np.concatenate([[0], np.cumsum(sizes)])[number]  # of each segment
+        order = np.argsort(segs)
+        segs, begin = segs[order], begin[order]
         places, prints = b.hot(code)
+        found = np.empty(0, np.uint8)
         if len(places):
             known, which = np.unique(prints, return_inverse=True)
-            start[places] = X.bits(told.filter(pa.array(is_hot)))[which]
-        seen = np.cumsum(start)
-        seen[width:] -= seen[:-width].copy()
-        gone = seen[: len(b.data)] > 0
-        at = b.offsets
-        edge = np.diff(gone.astype(np.int8), prepend=0, append=0) != 0
-        inner = at[1:-1]
-        same = inner[(inner > 0) & (inner < len(gone))]
-        both = same[gone[same] & gone[same - 1]]  # a run that reaches a text's end ends there
-        bounds = np.flatnonzero(edge)
-        bounds = np.sort(np.concatenate([bounds, both, both]))
-        starts, ends = bounds[0::2], bounds[1::2]
-        of = np.searchsorted(at, starts, "right") - 1
-        per = np.bincount(of, minlength=table.num_rows) * 2
-        flat = np.empty(2 * len(starts), np.int64)
-        flat[0::2], flat[1::2] = starts - at[of], ends - at[of]
-        spans = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(per)]), pa.int32()), pa.array(flat, pa.int64()))
-        lo, hi = int(at[0]), int(at[-1])
-        left = np.concatenate([[0], np.cumsum(~gone[lo:hi])])
-        kept = pa.Array.from_buffers(pa.binary(), table.num_rows, [None, pa.py_buffer(left[at - lo].astype(np.int32)), pa.py_buffer(b.data[lo:hi][~gone[lo:hi]])])
-        return pa.table([table.column(X.DOC).cast(pa.int64()), pa.array(np.diff(at), pa.int64()), spans, kept], schema=OUT)
+            found = X.bits(told.filter(pa.array(is_hot)))[which].astype(np.uint8)
+        counts, runs, kept, left = [], [], [], []
+        for i, j in b.chunks:  # strings stay within their text, so a chunk of texts at a time does
+            lo, hi = int(b.offsets[i]), int(b.offsets[j])
+            start = np.zeros(hi - lo, np.uint8)
+            x, y = np.searchsorted(b.lo[segs], [lo, hi])
+            for s, f in zip(segs[x:y], begin[x:y]):
+                start[b.lo[s] - lo : b.hi[s] - lo + 1] = flags[f : f + b.hi[s] - b.lo[s] + 1]
+            x, y = np.searchsorted(places, [lo, hi])
+            start[places[x:y] - lo] = found[x:y]
+            bounds = b.offsets[i : j + 1] - lo
+            per, flat, gone = _covered(start, bounds, width)
+            counts.append(per)
+            runs.append(flat)
+            kept.append(b.data[lo:hi][~gone])
+            left.append(np.diff(np.concatenate([[0], np.cumsum(~gone)])[bounds]))
+        ends = lambda xs, t: pa.array(np.concatenate([[0], np.cumsum(np.concatenate(xs))]), t)
+        spans = pa.ListArray.from_arrays(ends(counts, pa.int32()), pa.array(np.concatenate(runs), pa.int64()))
+        body = pa.Array.from_buffers(pa.binary(), table.num_rows, [None, ends(left, pa.int32()).buffers()[1], pa.py_buffer(np.concatenate(kept))])
+        return pa.table([table.column(X.DOC).cast(pa.int64()), pa.array(np.diff(b.offsets), pa.int64()), spans, body], schema=OUT)
 
     cores = X.owned(rows.groupBy(X.BUCKET).applyInArrow(ask_cores, X.ASK), own_cores)
     sent = rows.groupBy(X.BUCKET).cogroup(cores.groupBy(X.BUCKET)).applyInArrow(send, SEND_SQL)

@@ -127,9 +127,8 @@ def test_block_max_wand(items, passage, threshold):
 
 @pytest.mark.parametrize("width,hot", [(400, 4096), (60, 4096), (60, 3)])
 def test_suffix_dedup(docs, rows, monkeypatch, width, hot):
-    monkeypatch.setattr(suffix_dedup, "HOT", hot)
-    monkeypatch.setattr(suffix_dedup.X, "BUCKET_BYTES", 1 << 14)
-    out = suffix_dedup.suffix_dedup(docs, width)
+    monkeypatch.setattr(suffix_dedup, "BUCKET_BYTES", 1 << 14)
+    out = suffix_dedup.suffix_dedup(docs, width, hot)
     got = values(out, "doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).cast("long"), (F.size("spans") / 2).cast("long"), sha("kept"))
     assert got == plain(brute.suffix(rows, width))
 
@@ -223,7 +222,7 @@ def test_lines(docs, rows, empty, monkeypatch, hot):
 
 @pytest.mark.parametrize("window", [13, 5, 1])
 def test_substrings(docs, rows, empty, monkeypatch, window):
-    monkeypatch.setattr(substring_dedup.X, "BUCKET_BYTES", 1 << 14)
+    monkeypatch.setattr(substring_dedup, "BUCKET_BYTES", 1 << 14)
     out = substring_dedup.substring_dedup(docs, window)
     assert values(out, "doc_id", "n_words", "n_removed", sha("kept_text")) == plain(brute.substring(rows, window))
     assert substring_dedup.substring_dedup(empty, window).count() == 0 and suffix_dedup.suffix_dedup(empty).count() == 0
