@@ -8,12 +8,15 @@ from pyspark.sql import functions as F
 from . import exchange as X
 from .exact_dedup import HOT_ROWS
 
-BLANK = "\\x20\\x09-\\x0D"
+BLANK = " \t\n\x0b\x0c\r"
+ROW = ["d", "t"]  # doc_id and a hash of the text: rows that repeat a doc_id may differ
 
 
 def line_key(line: Column) -> Column:
     """The line without ASCII white space at its ends, A-Z lower-cased."""
-    return F.translate(F.regexp_replace(line, f"^[{BLANK}]+|[{BLANK}]+$", ""), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    bare = F.btrim(line, F.lit(BLANK))
+    # lower() is far cheaper than translate(), and the same where all is ASCII
+    return F.when(F.octet_length(bare) == F.length(bare), F.lower(bare)).otherwise(F.translate(bare, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
 
 
 def line_dedup(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> DataFrame:
@@ -25,33 +28,33 @@ def line_dedup(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> DataF
     one document, and each loses or keeps its own lines; a null doc_id counts as one document, the smallest. Other columns are ignored.
     """
     full = X.corpus(docs).withColumn(X.TEXT, F.coalesce(F.col(X.TEXT), F.lit("")))
+    full = full.withColumn("d", F.coalesce(F.col(X.DOC), F.lit(-(2**63)))).withColumn("t", F.xxhash64(X.TEXT))
     parted = F.split(F.col(X.TEXT), "\n", -1)
-    doc = F.coalesce(F.col(X.DOC), F.lit(-(2**63))).alias("d")
-    lines = full.select(doc, F.explode(F.array_distinct(F.transform(parted, line_key))).alias("key")).where(F.length("key") >= min_chars)
-    hashed = lines.select("d", F.xxhash64("key").alias("h1"), F.xxhash64("key", F.lit(1)).alias("h2"))
+    lines = full.select(*ROW, F.posexplode(parted).alias("pos", "line")).where(F.octet_length("line") >= min_chars)
+    keyed = lines.select(*ROW, "pos", line_key(F.col("line")).alias("key")).where(F.length("key") >= min_chars)
+    hashed = X.cut(keyed.select(*ROW, "pos", F.xxhash64("key").alias("h1"), F.xxhash64("key", F.lit(1)).alias("h2")))
     keys = hashed.groupBy("h1", "h2").agg(F.min("d").alias("lo"), F.max("d").alias("hi"), F.count(F.lit(1)).alias("n")).where(f"n >= {min_docs} and lo < hi")
-    # n counts rows; documents that come in several rows make it too large, so the few keys left are counted exactly
+    # n counts lines; those that a document repeats make it too large, so the few keys left are counted exactly
     keys = X.cut(keys)
-    several = hashed.join(keys.select("h1", "h2"), ["h1", "h2"], "left_semi") if keys.where(f"n > {HOT_ROWS}").isEmpty() else _semi(hashed, keys)
-    several = several.distinct()
-    bad = several.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.max("d").alias("hi")).where(f"n >= {min_docs}")
-    drops = _with_last(several, bad).where("d < hi").groupBy("d").agg(F.collect_set(F.struct("h1", "h2")).alias("drops"))
-    key = F.transform(parted, line_key)
-    rows = full.withColumn("d", doc).join(drops, "d", "left")
-    pairs = F.transform(F.arrays_zip(parted.alias("line"), key.alias("key")), lambda p: F.struct(p["line"].alias("line"), F.struct(F.xxhash64(p["key"]).alias("h1"), F.xxhash64(p["key"], F.lit(1)).alias("h2")).alias("h"), F.length(p["key"]).alias("n")))
+    several = _semi(hashed, keys)
+    bad = several.select("h1", "h2", "d").distinct().groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.max("d").alias("hi")).where(f"n >= {min_docs}")
+    # repeated rows give each of their places again
+    drops = _with_last(several, bad).where("d < hi").groupBy(*ROW).agg(F.collect_set("pos").alias("drops"))
+    rows = full.join(drops, ROW, "left")
+    kept = F.filter(parted, lambda _, i: ~F.array_contains(F.col("drops"), i))
     none = F.col("drops").isNull()
-    kept = F.filter(pairs, lambda p: ~((p["n"] >= min_chars) & F.array_contains(F.col("drops"), p["h"])))
-    done = rows.select(X.DOC, F.size(parted).cast("long").alias("n_lines"), F.when(none, F.lit(None)).otherwise(kept).alias("kept"), X.TEXT)
-    return done.select(
+    return rows.select(
         X.DOC,
-        "n_lines",
-        F.when(F.col("kept").isNull(), F.lit(0)).otherwise(F.col("n_lines") - F.size("kept")).cast("long").alias("n_dropped"),
-        F.when(F.col("kept").isNull(), F.col(X.TEXT)).otherwise(F.array_join(F.transform("kept", lambda p: p["line"]), "\n")).alias("kept_text"),
+        (F.length(X.TEXT) - F.length(F.replace(F.col(X.TEXT), F.lit("\n"), F.lit(""))) + 1).cast("long").alias("n_lines"),
+        F.when(none, F.lit(0)).otherwise(F.size("drops")).cast("long").alias("n_dropped"),
+        F.when(none, F.col(X.TEXT)).otherwise(F.array_join(kept, "\n")).alias("kept_text"),
     )
 
 
 def _semi(rows: DataFrame, keys: DataFrame) -> DataFrame:
     """Rows with a key of `keys`; keys of many rows are few by count and broadcast."""
+    if keys.where(f"n > {HOT_ROWS}").isEmpty():
+        return rows.join(keys.select("h1", "h2"), ["h1", "h2"], "left_semi")
     hot = F.broadcast(keys.where(f"n > {HOT_ROWS}").select("h1", "h2"))
     cold = keys.where(f"n <= {HOT_ROWS}").select("h1", "h2")
     return rows.join(hot, ["h1", "h2"], "left_semi").unionByName(rows.join(hot, ["h1", "h2"], "left_anti").join(cold, ["h1", "h2"], "left_semi"))
