@@ -32,9 +32,14 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """The same rows, kept in the shared folder, without lineage."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """The same rows, kept in the shared folder, without lineage. Shuffle files that led there go as soon as the driver's
+    JVM collects its garbage, which it would do too rarely by itself for large inputs."""
+    spark = df.sparkSession
+    shared_dir(spark)
+    kept = df.checkpoint(eager=True)
+    del df
+    spark.sparkContext._jvm.System.gc()
+    return kept
 
 
 def corpus(docs: DataFrame, *more) -> DataFrame:

@@ -60,7 +60,7 @@ def sketches(hashes: np.ndarray, cuts: np.ndarray, t: int) -> np.ndarray:
     return out.reshape(n, t)
 
 
-CLASS = pa.schema([("doc_id", pa.int64()), ("th", pa.int64()), ("n_shingles", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("bands", pa.binary())])
+CLASS = pa.schema([("doc_id", pa.int64()), ("th", pa.int64()), ("n_shingles", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("bands", pa.list_(pa.int64()))])
 
 
 def _sketch(width: int, bands: int, rows: int):
@@ -80,7 +80,7 @@ def _sketch(width: int, bands: int, rows: int):
                 safe = np.minimum(cuts[:-1], max(0, len(h) - 1))
                 both = [np.add.reduceat(x, safe) if len(x) else np.zeros(len(size), U) for x in (mix(h), mix(h ^ U(0xD6E8FEB86659FD93)))]
                 both = [np.where(size > 0, x, U(0)).astype(np.int64) for x in both]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), pa.array(size, pa.int64()), pa.array(both[0]), pa.array(both[1]), pa.array([row.tobytes() for row in code], pa.binary())], schema=CLASS)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), pa.array(size, pa.int64()), pa.array(both[0]), pa.array(both[1]), pa.ListArray.from_arrays(pa.array(np.arange(len(code) + 1) * bands, pa.int32()), pa.array(code.view(np.int64).ravel()))], schema=CLASS)
 
     return run
 
@@ -145,13 +145,12 @@ def near_groups(docs: DataFrame, width: int = 2, percent: int = 80, bands: int =
     doc_id counts as the smallest. Rows that repeat a doc_id or a text are rows of one class. Other columns are ignored.
     """
     base = X.corpus(docs).select(F.coalesce(X.DOC, F.lit(LOWEST)).alias(X.DOC), F.xxhash64(F.coalesce(X.TEXT, F.lit(""))).alias("th"), X.TEXT)
-    slim = X.cut(base.mapInArrow(_sketch(width, bands, rows), "doc_id long, th long, n_shingles long, d1 long, d2 long, bands binary"))
+    slim = X.cut(base.mapInArrow(_sketch(width, bands, rows), "doc_id long, th long, n_shingles long, d1 long, d2 long, bands array<long>"))
     some = slim.where("n_shingles > 0").withColumn("id", F.xxhash64("d1", "d2", "n_shingles"))
     # classes of equal sets; equal sets have equal bands, so any will do
     classes = some.groupBy("id", "n_shingles").agg(F.min(F.struct(X.DOC, "th")).alias("least"), F.count(F.lit(1)).alias("members"), F.first("bands").alias("bands"))
     classes = X.cut(classes.select("id", "n_shingles", "least.*", "members", "bands"))
-    codes = F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda k: F.substring(F.hex("bands"), k * 16 + 1, F.lit(16)))
-    entry = classes.select("id", "n_shingles", F.explode(codes).alias("key"))
+    entry = classes.select("id", "n_shingles", F.explode("bands").alias("key"))
     counted = X.cut(entry.groupBy("key").agg(F.min("id").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1"))
     inner = X.cut(attach(entry, counted, "key", "n").where("hub is not null"))
     first = X.cut(inner.where("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct())
