@@ -14,7 +14,7 @@ WHITESPACE = "[\\t-\\r\\x1c-\\x20\\x85\\u00a0\\u1680\\u2000-\\u200a\\u2028\\u202
 
 def words(text: Column | str) -> Column:
     """Words of a text as Python's split() gives them; a null text has none."""
-    return F.filter(F.split(F.coalesce(_col(text), F.lit("")), WHITESPACE), lambda w: w != "")
+    return F.array_remove(F.split(F.coalesce(_col(text), F.lit("")), WHITESPACE), "")
 
 
 def custom_words(text: Column | str, how: Callable) -> Column:

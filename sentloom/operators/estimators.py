@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.arrays import EPS
 from ..sources.vectors import WordVectors, read_vectors, write_vectors
 from . import validation
-from .averaging import averages, effective_counts
+from .averaging import averages
 from .linalg import Components, normalised, principal_components, remove_components
 from .similarity import SentenceVectors
 from .vocabulary import induced_counts, sif_weights, uniform_weights, usif_weights
@@ -50,9 +50,11 @@ class Embedding(ABC):
         """Statistics, weights, averages, components. Rows of an index that no sentence has are `initial` throughout."""
         scan = validation.scan(corpus)
         wv = self.prepared(scan)
-        sentences, words = effective_counts(corpus, wv)
+        raw = averages(corpus, wv, self.initial, dense=True, most_words=self.max_words).persist()
+        sentences = scan.total_sentences - scan.empty_sentences
+        words = scan.total_words if wv.subword else int(raw.agg(F.sum("known")).first()[0] or 0)
         validation.check_result(sentences, words)
-        raw = averages(corpus, wv, self.initial, dense=True, most_words=self.max_words).select("idx", "vector").persist()
+        raw = raw.select("idx", "vector")
         parts = self.components_of(raw)
         return EmbeddingModel(type(self).__name__, wv, parts, remove_components(raw, parts) if parts else raw, scan, (sentences, words))
 

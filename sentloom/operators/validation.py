@@ -28,27 +28,37 @@ def check_schema(corpus) -> None:
         raise TypeError("idx must be an integer")
 
 
+def _statistics() -> list:
+    n = F.coalesce(F.size("words"), F.lit(0))
+    n = F.when(n > 0, n).otherwise(0)  # the size of a null is -1 in some settings
+    return [
+        F.count(F.lit(1)).alias("total_sentences"),
+        F.coalesce(F.sum(n), F.lit(0)).cast("long").alias("total_words"),
+        F.coalesce(F.sum(F.when(n == 0, 1).otherwise(0)), F.lit(0)).cast("long").alias("empty_sentences"),
+        F.coalesce(F.max("idx") + 1, F.lit(0)).cast("long").alias("max_index"),
+    ]
+
+
 def scan_statistics(corpus: DataFrame) -> DataFrame:
-    """The same as one row of a DataFrame, unchecked."""
-    n = F.coalesce(F.size(F.coalesce("words", F.array().cast("array<string>"))), F.lit(0))
-    got = corpus.agg(F.count(F.lit(1)).alias("total_sentences"), F.coalesce(F.sum(n), F.lit(0)).cast("long").alias("total_words"), F.coalesce(F.sum(F.when(n == 0, 1).otherwise(0)), F.lit(0)).cast("long").alias("empty_sentences"), F.coalesce(F.max("idx") + 1, F.lit(0)).cast("long").alias("max_index"))
-    return got.withColumn("average_length", F.coalesce(F.floor(F.try_divide("total_words", "total_sentences")), F.lit(0)).cast("long"))
+    """Statistics of all rows as one row of a DataFrame, unchecked."""
+    return corpus.agg(*_statistics()).withColumn("average_length", F.coalesce(F.floor(F.try_divide("total_words", "total_sentences")), F.lit(0)).cast("long"))
 
 
 def scan(corpus: DataFrame, dense: bool = True) -> Scan:
-    """Statistics of all rows. dense: an index must be below the number of rows, as rows of a matrix are."""
+    """Checked statistics of all rows, in one pass. dense: an index must be below the number of rows, as rows of a matrix are."""
     check_schema(corpus)
-    low = corpus.agg(F.min("idx"), F.sum(F.col("idx").isNull().cast("int"))).first()
-    if low[1]:
+    got = corpus.agg(*_statistics(), F.min("idx").alias("lowest"), F.coalesce(F.sum(F.col("idx").isNull().cast("int")), F.lit(0)).alias("nulls")).first().asDict()
+    lowest, nulls = got.pop("lowest"), got.pop("nulls")
+    if nulls:
         raise TypeError("an index is null")
-    if low[0] is not None and low[0] < 0:
+    if lowest is not None and lowest < 0:
         raise ValueError("an index is negative")
-    got = Scan(**scan_statistics(corpus).first().asDict())
-    if not got.total_sentences:
+    if not got["total_sentences"]:
         raise ValueError("no sentences")
-    if dense and got.max_index > got.total_sentences:
-        raise RuntimeError(f"the largest index is {got.max_index - 1}, but there are {got.total_sentences} sentences")
-    return got
+    out = Scan(**got, average_length=got["total_words"] // got["total_sentences"])
+    if dense and out.max_index > out.total_sentences:
+        raise RuntimeError(f"the largest index is {out.max_index - 1}, but there are {out.total_sentences} sentences")
+    return out
 
 
 def check_result(sentences: int, words: int) -> None:

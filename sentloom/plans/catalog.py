@@ -49,7 +49,8 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 def model_vectors(spark: SparkSession, sf_dir: str, docs: DataFrame) -> WordVectors:
     vecs = vectors(spark, sf_dir)
     ranked = vocabulary.build_vocabulary(docs, most=vecs.count())
-    return word_vectors(ranked.join(vecs.select(F.col("idx").alias("index"), "vector"), "index"))
+    # as many rows as there are vectors, and used several times
+    return word_vectors(ranked.join(vecs.select(F.col("idx").alias("index"), "vector"), "index").persist())
 
 
 def flat(df: DataFrame, key: str = "idx", column: str = "vector", digits: int = 6, name: str | None = None) -> DataFrame:
