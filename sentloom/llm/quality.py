@@ -97,13 +97,17 @@ def fit(f: np.ndarray, cuts: np.ndarray, label: np.ndarray, bits: int = BITS, c:
         y = np.where(label > 0, 1.0, -1.0)
         upper = np.where(label > 0, c, c * max(1.0, (label[rows] > 0).sum() / max(1, (label[rows] == 0).sum())))
         w, bias, dual = np.zeros(1 << bits), 0.0, np.zeros(n)
-        x_of = {int(x): (f[cuts[x] : cuts[x + 1]], ratio[f[cuts[x] : cuts[x + 1]]] / np.sqrt(max(1, cuts[x + 1] - cuts[x]))) for x in rows}
-        square = {x: float(v @ v) + 1 for x, (_, v) in x_of.items()}
+        size = np.sqrt(np.maximum(1, np.diff(cuts)))
+        square = np.zeros(n)
+        for x in rows.tolist():
+            v = ratio[f[cuts[x] : cuts[x + 1]]] / size[x]
+            square[x] = v @ v + 1
         rnd = np.random.default_rng(seed)
         for _ in range(epochs):
             most = 0.0
             for x in rnd.permutation(rows).tolist():
-                at, v = x_of[x]
+                at = f[cuts[x] : cuts[x + 1]]
+                v = ratio[at] / size[x]
                 g = y[x] * (float(w[at] @ v) + bias) - 1
                 new = min(max(dual[x] - g / square[x], 0.0), upper[x])
                 step = (new - dual[x]) * y[x]
@@ -157,10 +161,13 @@ def learn(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, bits: in
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), batch.column(2).slice(i, j - i), pa.array(blobs, pa.binary())], names=["doc_id", "quality", "f"])
 
     got = texts.select(X.DOC, X.TEXT, "quality").mapInArrow(run, "doc_id long, quality int, f binary").orderBy(X.DOC).limit(max_rows).toArrow()
-    blobs = got.column("f").to_pylist()
-    f = np.frombuffer(b"".join(blobs), np.int32)
-    cuts = np.concatenate([[0], np.cumsum([len(b) // 4 for b in blobs])]).astype(np.int64)
-    return fit(f, cuts, got.column("quality").to_numpy().astype(np.int64), bits)
+    label = got.column("quality").to_numpy().astype(np.int64)
+    blobs = got.column("f").cast(pa.large_binary()).combine_chunks()
+    del got
+    _, ends, body = blobs.buffers() if len(blobs) else (None, None, None)
+    cuts = np.frombuffer(ends, np.int64, len(blobs) + 1, blobs.offset * 8) // 4 if len(blobs) else np.zeros(1, np.int64)
+    f = np.frombuffer(body, np.int32) if len(blobs) and body.size else np.empty(0, np.int32)
+    return fit(f, cuts, label, bits)
 
 
 def score(docs: DataFrame, model: Quality, folds: int = 5) -> DataFrame:
