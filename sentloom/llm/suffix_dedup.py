@@ -205,7 +205,8 @@ class _Bucket:
         self.keys, self.which, self.count = np.unique(self.key, return_inverse=True, return_counts=True)
 
     def regions(self, code: np.ndarray):
-        """Distinct regions of the segments with code 1: (segments, number of each one's region, bytes, keys, counts)."""
+        """Distinct regions of the segments with code 1: (segments, number of each one's region, bytes, keys, counts).
+        They are numbered by key, then bytes: the rows of a bucket come in another order whenever a task reads them anew."""
         segs = np.flatnonzero(code[self.which] == 1)
         segs = segs[np.argsort(self.key[segs], kind="stable")]
         seen: dict[tuple[int, bytes], int] = {}
@@ -213,8 +214,12 @@ class _Bucket:
         raw = self.data
         for x, s in enumerate(segs):
             number[x] = seen.setdefault((int(self.key[s]), raw[self.lo[s] : self.hi[s] + self.width].tobytes()), len(seen))
-        keys = np.fromiter((k for k, _ in seen), U, len(seen))
-        return segs, number, [r for _, r in seen], keys, np.bincount(number, minlength=len(seen))
+        ordered = sorted(seen)
+        place = np.empty(len(seen), np.int64)
+        place[np.fromiter((seen[r] for r in ordered), np.int64, len(seen))] = np.arange(len(seen))
+        number = place[number]
+        keys = np.fromiter((k for k, _ in ordered), U, len(seen))
+        return segs, number, [r for _, r in ordered], keys, np.bincount(number, minlength=len(seen))
 
     def hot(self, code: np.ndarray):
         """Strings of the segments with code 2: (places, fingerprints)."""

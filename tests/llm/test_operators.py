@@ -139,6 +139,20 @@ def test_suffix_spans(docs, rows):
         assert sum(b - a for a, b in runs) == r["n_bytes"] - len(r["kept"]) and all(x[1] < y[0] for x, y in zip(runs, runs[1:]))
 
 
+def test_suffix_regions_of_permuted_rows():
+    """Answers come back in the order of regions(), which another task numbers from the same rows in another order."""
+    import pyarrow as pa
+
+    core = "the same core of some eighty bytes, which every text below holds in other surroundings, "
+    texts = [f"{a} {core}{b}" for a in ("one", "two", "three", "four") for b in ("five", "six", "seven")]
+    one, two = (suffix_dedup._Bucket(pa.table({"text": pa.array(x)}), 60) for x in (texts, texts[5:] + texts[:5][::-1]))
+    assert (one.keys == two.keys).all()
+    a, b = (x.regions(np.ones(len(x.keys), np.uint8)) for x in (one, two))
+    assert a[2] == b[2] and (a[3] == b[3]).all() and (a[4] == b[4]).all() and len(set(a[3].tolist())) < len(a[3])
+    for x, r in ((one, a), (two, b)):
+        assert all(x.data[x.lo[s] : x.hi[s] + 60].tobytes() == r[2][k] for s, k in zip(r[0], r[1]))
+
+
 # ---- 3: packing -----------------------------------------------------------------------------------------------------
 
 P = __import__("public_tokenizers")
