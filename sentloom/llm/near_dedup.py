@@ -19,6 +19,7 @@ from .kernel import MUL, U, Words, chunks, column, mix
 
 BANDS, ROWS = 40, 5
 LOWEST = -(2**63)
+BLOCK, BLOCK_SHINGLES, SLAB = 64, 400_000, 1 << 13
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, i: int, j: int, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -118,6 +119,63 @@ def confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> D
     return both.mapInArrow(_verify(width, percent), "a long, b long")
 
 
+def linked(sets: list[np.ndarray], percent: int) -> np.ndarray:
+    """Which of the sets (sorted distinct fingerprints) are alike enough, as a symmetric matrix; none is its own."""
+    size = np.fromiter(map(len, sets), np.int64, len(sets))
+    known, which, held = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    common = held[which] > 1
+    place = (np.cumsum(held > 1) - 1)[which[common]]
+    owner = np.repeat(np.arange(len(sets)), size)[common]
+    order = np.argsort(place, kind="stable")
+    place, owner = place[order], owner[order]
+    both = np.zeros((len(sets), len(sets)), np.int64)
+    for lo in range(0, int(place[-1]) + 1 if len(place) else 0, SLAB):
+        a, b = np.searchsorted(place, [lo, lo + SLAB])
+        part = np.zeros((len(sets), SLAB), np.float32)
+        part[owner[a:b], place[a:b] - lo] = 1
+        both += (part @ part.T).astype(np.int64)
+    union = size[:, None] + size - both
+    ok = (100 * both >= percent * union) & (union > 0)
+    np.fill_diagonal(ok, False)
+    return ok
+
+
+def _count(width: int, percent: int):
+    schema = pa.schema([("id", pa.int64()), ("links", pa.int64())])
+
+    def run(table: pa.Table) -> pa.Table:
+        data, offsets = column(table.column(X.TEXT))
+        sets: list[np.ndarray] = []
+        for i, j in chunks(offsets):
+            h, cuts = shingle_sets(data, offsets, i, j, width)
+            sets += [h[a:b] for a, b in zip(cuts[:-1], cuts[1:])]
+        c, block = table.column("c").to_numpy(), table.column("block").to_numpy()
+        across = table.column("x")[0].as_py() != table.column("y")[0].as_py()
+        links = np.zeros(len(sets), np.int64)
+        order = np.argsort(c, kind="stable")
+        for own in np.split(order, np.flatnonzero(np.diff(c[order])) + 1):
+            ok = linked([sets[r] for r in own], percent)
+            links[own] = (ok & (block[own, None] != block[own]) if across else ok).sum(axis=1)
+        return pa.table([table.column("id"), pa.array(links)], schema=schema)
+
+    return run
+
+
+def count_links(parts: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """(id, links) of all classes in parts (id, c, n_shingles) that share their component c: how many others of it each is
+    linked to. All pairs of a component are verified on full sets. A component is split into blocks of about BLOCK classes or
+    BLOCK_SHINGLES shingles, and every two blocks meet in one group; small components share groups."""
+    room = parts.groupBy("c").agg(F.count(F.lit(1)).alias("m"), F.sum("n_shingles").alias("w")).where("m > 1")
+    room = X.cut(room.withColumn("blocks", F.ceil(F.greatest(F.col("m") / F.lit(BLOCK), F.col("w") / F.lit(BLOCK_SHINGLES))).cast("int")))
+    groups = max(1, -(-(room.where("blocks = 1").agg(F.sum("w")).first()[0] or 0) // BLOCK_SHINGLES))
+    placed = attach(parts.select("id", "c"), room.select("c", "m", "blocks"), "c", "m").where("blocks is not null").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    cells = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    alone = F.col("blocks") == 1
+    end = lambda f: F.when(alone, F.lit(-1)).otherwise(f("block", "other"))
+    cells = cells.select("id", "c", "block", F.when(alone, F.pmod(F.xxhash64("c"), F.lit(groups))).otherwise(F.col("c")).alias("g"), end(F.least).alias("x"), end(F.greatest).alias("y"))
+    return cells.join(texts, "id").groupBy("g", "x", "y").applyInArrow(_count(width, percent), "id long, links long").groupBy("id").agg(F.sum("links").alias("links"))
+
+
 def components(links: DataFrame, hot: int = HOT_ROWS) -> DataFrame:
     """(id, c) of every id in links (a, b): c is the least id that can be reached. Alternates between each vertex taking
     the least label around it and labels taking their own label, so that chains halve; every round is kept in the shared folder."""
@@ -133,15 +191,15 @@ def components(links: DataFrame, hot: int = HOT_ROWS) -> DataFrame:
         label = new.select("id", "c")
 
 
-def near_groups(docs: DataFrame, width: int = 2, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """doc_id, n_shingles, component_id, class_id and links of every row.
+def near_groups(docs: DataFrame, width: int = 2, percent: int = 80, bands: int = BANDS, rows: int = ROWS, with_links: bool = True) -> DataFrame:
+    """doc_id, n_shingles, component_id, class_id and, with_links, links of every row.
 
     A text's set has its distinct sequences of `width` words, A-Z lower-cased; a text of fewer words is one sequence, and
     a null or empty one, or one without words, has no set and no links. Texts are linked when
     100 * |intersection| >= percent * |union|, confirmed on full sets of 64-bit fingerprints. component_id is the
-    smallest doc_id that can be reached; class_id the smallest with the same set; links the number of other classes this
-    row's class was confirmed against. Every candidate pair is confirmed or joins one component anyway: no bucket is
-    capped. With 40 bands of 5 coordinates a pair exactly at the threshold is missed with probability 1.2e-7. A null
+    smallest doc_id that can be reached; class_id the smallest with the same set; links the number of other
+    classes (different sets) that this row's class is linked to, all pairs of a component being verified. Every candidate pair
+    is confirmed or joins one component anyway: no bucket is capped. With 40 bands of 5 coordinates a pair exactly at the threshold is missed with probability 1.2e-7. A null
     doc_id counts as the smallest. Rows that repeat a doc_id or a text are rows of one class. Other columns are ignored.
     """
     base = X.corpus(docs).select(F.coalesce(X.DOC, F.lit(LOWEST)).alias(X.DOC), F.xxhash64(F.coalesce(X.TEXT, F.lit(""))).alias("th"), X.TEXT)
@@ -166,27 +224,30 @@ def near_groups(docs: DataFrame, width: int = 2, percent: int = 80, bands: int =
     alike = F.expr(f"x.key = y.key and x.c < y.c and 100 * least(x.s, y.s) >= {percent} * greatest(x.s, y.s)")
     more = x.join(y, alike).select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
     late = X.cut(confirmed(more, texts, width, percent))
-    links = links if late.isEmpty() else X.cut(links.unionByName(late))
-    found = found if late.isEmpty() else components(links)
-    degree = links.select(F.col("a").alias("id")).unionByName(links.select(F.col("b").alias("id"))).groupBy("id").agg(F.count(F.lit(1)).alias("links"))
-    of = classes.select("id", F.col(X.DOC).alias("class_id"), "members").join(found, "id", "left").join(degree, "id", "left").withColumn("c", F.coalesce("c", "id"))
+    found = found if late.isEmpty() else components(X.cut(links.unionByName(late)))
+    of = classes.select("id", "n_shingles", F.col(X.DOC).alias("class_id"), "members").join(found, "id", "left").withColumn("c", F.coalesce("c", "id"))
     of = X.cut(of)
+    more = []
+    if with_links:
+        degree = X.cut(count_links(of.select("id", "c", "n_shingles"), texts, width, percent))
+        of = X.cut(of.join(degree, "id", "left").withColumn("links", F.coalesce("links", F.lit(0)).cast("long")))
+        more = ["links"]
     whole = of.groupBy("c").agg(F.min("class_id").alias("component_id"), F.count(F.lit(1)).alias("parts"))
-    of = X.cut(attach(of, whole, "c", "parts").select("id", "members", "class_id", "component_id", F.coalesce("links", F.lit(0)).cast("long").alias("links")))
+    of = X.cut(attach(of, whole, "c", "parts").select("id", "members", "class_id", "component_id", *more))
     out = attach(slim.select(X.DOC, "n_shingles", F.when(F.col("n_shingles") > 0, F.xxhash64("d1", "d2", "n_shingles")).alias("id")), of, "id", "members")
     back = lambda c: F.when(F.col(c) != LOWEST, F.col(c))
     return out.select(
         back(X.DOC).alias(X.DOC), "n_shingles",
         F.when(F.col("members").isNull(), back(X.DOC)).otherwise(back("component_id")).alias("component_id"),
         F.when(F.col("members").isNull(), back(X.DOC)).otherwise(back("class_id")).alias("class_id"),
-        F.coalesce("links", F.lit(0)).cast("long").alias("links"),
+        *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in more],
     )
 
 
 def near_dedup(docs: DataFrame, **how) -> DataFrame:
     """The rows of docs, all columns, of which one stays in each component: that with the smallest doc_id. Rows without words stay;
     of rows that repeat the component's doc_id one stays."""
-    groups = near_groups(docs, **how)
+    groups = near_groups(docs, with_links=False, **how)
     gone = groups.where(~F.col(X.DOC).eqNullSafe(F.col("component_id"))).select(F.col(X.DOC).alias("_gone")).distinct()
     out = docs.join(gone, F.col(X.DOC).cast("long").eqNullSafe(F.col("_gone")), "left_anti")
     again = X.cut(groups.where("n_shingles > 0").where(F.col(X.DOC).eqNullSafe(F.col("component_id"))).groupBy(F.col(X.DOC).alias("_again")).count().where("count > 1").select("_again"))

@@ -48,10 +48,16 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = near_dedup.near_groups(documents(spark, sf_dir))
+    """The columns of its SQL; op8_near_links has the number of links too."""
+    out = near_dedup.near_groups(documents(spark, sf_dir), with_links=False)
     return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "class_id")
 
 
+def op8_near_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = near_dedup.near_groups(documents(spark, sf_dir))
+    return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "class_id", "links")
+
+
 def op9_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_model.language_scores(documents(spark, sf_dir))
 
@@ -67,5 +73,5 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_suffix_dedup, op3_packing, op4_line_dedup, op5_substring_dedup, op6_exact_dedup, op7_quality, op8_near_dedup, op9_language_model, op10_sharding, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_suffix_dedup, op3_packing, op4_line_dedup, op5_substring_dedup, op6_exact_dedup, op7_quality, op8_near_dedup, op8_near_links, op9_language_model, op10_sharding, pipeline)}
 __all__ = ["ORACLE", "QUERIES"]

@@ -270,6 +270,29 @@ def test_near(docs, rows, empty, monkeypatch, hot):
     assert near_dedup.near_groups(empty).count() == 0 and near_dedup.near_dedup(empty).count() == 0
 
 
+@pytest.mark.parametrize("block", [64, 7])
+def test_near_links(spark, rows, monkeypatch, block):
+    """Every link between different sets, in a group whose members meet in few bands and in one that is split into blocks."""
+    import random
+
+    monkeypatch.setattr(near_dedup, "BLOCK", block)
+    rnd = random.Random(5)
+    first = [f"w{i}" for i in range(160)]
+    copies = []
+    for i in range(40):
+        words = list(first)
+        for at in rnd.sample(range(160), rnd.randint(1, 12)):
+            words[at] = f"x{rnd.randrange(1000)}"
+        copies.append((3000 + i, " ".join(words)))
+    every = list(rows) + copies + copies[:3]
+    sets = [frozenset(brute.shingles(t)) for _, t in every]
+    kinds = [s for s in set(sets) if s]
+    count = {s: sum(1 for o in kinds if o != s and 100 * len(s & o) >= 80 * len(s | o)) for s in kinds}
+    got = near_dedup.near_groups(spark.createDataFrame(every, "doc_id long, text string"))
+    assert values(got, "doc_id", "n_shingles", "links") == plain((d, len(s), count.get(s, 0)) for (d, _), s in zip(every, sets))
+    assert 5 < max(count.values()) and len(set(count.values())) > 5
+
+
 def test_sketch_is_unbiased():
     rng = np.random.default_rng(0)
     common, a, b = (kernel.mix(rng.integers(0, 2**63, n).astype(np.uint64)) for n in (80, 10, 10))
