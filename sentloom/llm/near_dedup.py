@@ -78,8 +78,8 @@ def _sketch(width: int, bands: int, rows: int):
                 for r in range(rows):
                     code = mix(code * U(MUL) + s[:, :, r])
                 code = mix(code + np.arange(bands, dtype=U) * U(0x632BE59BD9B4E019))
-                safe = np.minimum(cuts[:-1], max(0, len(h) - 1))
-                both = [np.add.reduceat(x, safe) if len(x) else np.zeros(len(size), U) for x in (mix(h), mix(h ^ U(0xD6E8FEB86659FD93)))]
+                # one more zero, so that empty texts at the end of a chunk have a place of their own
+                both = [np.add.reduceat(np.append(x, U(0)), cuts[:-1]) for x in (mix(h), mix(h ^ U(0xD6E8FEB86659FD93)))]
                 both = [np.where(size > 0, x, U(0)).astype(np.int64) for x in both]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), pa.array(size, pa.int64()), pa.array(both[0]), pa.array(both[1]), pa.ListArray.from_arrays(pa.array(np.arange(len(code) + 1) * bands, pa.int32()), pa.array(code.view(np.int64).ravel()))], schema=CLASS)
 

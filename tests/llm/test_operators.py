@@ -293,6 +293,21 @@ def test_near_links(spark, rows, monkeypatch, block):
     assert 5 < max(count.values()) and len(set(count.values())) > 5
 
 
+def test_digests_before_empty_texts():
+    """A set has the same digests wherever its text stands in a chunk."""
+    import pyarrow as pa
+
+    def digests(*texts):
+        batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(range(len(texts)), pa.int64()), pa.array(texts)], names=["doc_id", "th", "text"])
+        out = pa.Table.from_batches(near_dedup._sketch(2, 4, 1)([batch]))
+        return list(zip(out["n_shingles"].to_pylist(), out["d1"].to_pylist(), out["d2"].to_pylist()))
+
+    alone, other = digests("a b c d e")[0], digests("a b c d x")[0]
+    assert alone != other and digests("", " ") == [(0, 0, 0)] * 2
+    assert digests("a b c d e", "", "\n", "") == [alone] + [(0, 0, 0)] * 3
+    assert digests("", "a b c d e", "", "a b c d x", "") == [(0, 0, 0), alone, (0, 0, 0), other, (0, 0, 0)]
+
+
 def test_sketch_is_unbiased():
     rng = np.random.default_rng(0)
     common, a, b = (kernel.mix(rng.integers(0, 2**63, n).astype(np.uint64)) for n in (80, 10, 10))
