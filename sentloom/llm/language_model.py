@@ -1,9 +1,9 @@
 """Op 9. A hidden Markov language model beside an additive unigram model.
 
 Every word belongs to one of CLASSES classes by its fingerprint, and the end of a text to a class of its own. States emit
-classes; within its class a word has its share of the training counts, smoothed. States are trained by Baum-Welch over
-all training texts: partitions return expected counts, which are added up in two steps on the executors, so the
-driver sees one set of parameters a pass. Word counts come from all training texts by an exchange in
+classes; within its class a word has its share of the training counts, smoothed. States are trained by Baum-Welch, every pass
+over all training texts, until a pass gains less than TOLERANCE: partitions return expected counts, which are added up in
+two steps on the executors, so the driver sees one set of parameters a pass. Word counts come from all training texts by an exchange in
 which each bucket sends each word once. Likelihoods are exact: the forward recursion runs over whole texts,
 rescaled at every step.
 """
@@ -21,9 +21,10 @@ from . import exchange as X
 from .kernel import U, Words, chunks, column
 from .quality import held_out
 
-STATES, CLASSES, PASSES, START_ROWS, START_PASSES = 6, 4096, 2, 512, 8
+STATES, CLASSES, PASSES = 6, 4096, 2
+TOLERANCE = 1e-3  # natural log likelihood of a token
 END = U(0xE5D0_FACE_0DD5_1DE5)  # the fingerprint that stands for the end of a text
-STEP_BYTES = 4 << 20
+STEP_BYTES, PASS_BYTES = 4 << 20, 16 << 20
 
 
 def classes_of(hashes: np.ndarray, n: int) -> np.ndarray:
@@ -123,9 +124,24 @@ def maximise(counts: np.ndarray, states: int, n: int, smooth: float = 0.01) -> H
 SLICE = 1 << 14
 
 
-def _pass(docs: DataFrame, model: Hmm) -> np.ndarray:
-    """Expected counts of all rows of docs: partitions add up theirs, then slices of the parameters are added, in 32 parts and then all."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+def _coded(docs: DataFrame, n: int) -> DataFrame:
+    """Symbols and lengths of all texts, kept for all passes; one row for about PASS_BYTES of text."""
+    schema = pa.schema([("symbols", pa.binary()), ("lengths", pa.binary())])
+
+    def run(batches):
+        blank = Hmm(np.empty(0), np.empty(0), np.empty((0, n + 1)))
+        for batch in batches:
+            data, offsets = column(batch.column(0))
+            for i, j in chunks(offsets, PASS_BYTES):
+                h, cuts = tokens(data, offsets, i, j)
+                yield pa.RecordBatch.from_arrays([pa.array([blank.symbols(h).astype(np.int32).tobytes()], pa.binary()), pa.array([np.diff(cuts).astype(np.int64).tobytes()], pa.binary())], schema=schema)
+
+    return X.cut(docs.select(F.coalesce(F.col(X.TEXT).cast("string"), F.lit("")).alias(X.TEXT)).mapInArrow(run, "symbols binary, lengths binary"))
+
+
+def _pass(coded: DataFrame, model: Hmm) -> np.ndarray:
+    """Expected counts of all texts: partitions add up theirs, then slices of the parameters are added, in 32 parts and then all."""
+    shared = coded.sparkSession.sparkContext.broadcast(model)
     size = len(model.start) + model.move.size + model.emit.size + 2
     schema = pa.schema([("slice", pa.int32()), ("part", pa.int32()), ("counts", pa.binary())])
 
@@ -134,10 +150,9 @@ def _pass(docs: DataFrame, model: Hmm) -> np.ndarray:
 
         m, total = shared.value, np.zeros(size)
         for batch in batches:
-            data, offsets = column(batch.column(0))
-            for i, j in chunks(offsets, STEP_BYTES):
-                h, cuts = tokens(data, offsets, i, j)
-                total += expect(m, m.symbols(h), cuts)
+            for symbols, lengths in zip(batch.column(0), batch.column(1)):
+                cuts = np.concatenate([[0], np.cumsum(np.frombuffer(lengths.as_buffer(), np.int64))])
+                total += expect(m, np.frombuffer(symbols.as_buffer(), np.int32), cuts)
         if total[-1]:
             at = range(0, size, SLICE)
             yield pa.RecordBatch.from_arrays([pa.array(range(len(at)), pa.int32()), pa.array([TaskContext.get().partitionId() % 32] * len(at), pa.int32()), pa.array([total[a : a + SLICE].tobytes() for a in at], pa.binary())], schema=schema)
@@ -147,7 +162,7 @@ def _pass(docs: DataFrame, model: Hmm) -> np.ndarray:
         return pa.table([table.column("slice").slice(0, 1), table.column("part").slice(0, 1), pa.array([total.tobytes()], pa.binary())], schema=schema)
 
     sql = "slice int, part int, counts binary"
-    parts = docs.select(F.coalesce(F.col(X.TEXT).cast("string"), F.lit("")).alias(X.TEXT)).mapInArrow(run, sql).groupBy("slice", "part").applyInArrow(add, sql)
+    parts = coded.mapInArrow(run, sql).groupBy("slice", "part").applyInArrow(add, sql)
     total = np.zeros(size)
     for r in parts.groupBy("slice").applyInArrow(add, sql).collect():  # size / SLICE rows, whatever the corpus
         total[r["slice"] * SLICE :][: len(r["counts"]) // 8] = np.frombuffer(r["counts"])
@@ -155,22 +170,19 @@ def _pass(docs: DataFrame, model: Hmm) -> np.ndarray:
     return total
 
 
-def train(docs: DataFrame, states: int = STATES, n: int = CLASSES, passes: int = PASSES, start_rows: int = START_ROWS, start_passes: int = START_PASSES) -> Hmm:
-    """Baum-Welch over every row of docs, `passes` times, from a start that `start_rows` rows of at most 8,000 characters
-    (those with the least hashes of doc_id) give; the start only sets where the passes over all rows begin."""
-    model = initial(states, n)
-    few = X.corpus(docs).where(F.length(X.TEXT) <= 8000).orderBy(F.xxhash64(X.DOC), X.DOC).limit(start_rows).select(X.TEXT).toArrow()
-    if few.num_rows:
-        data, offsets = column(few.column(0))
-        h, cuts = tokens(data, offsets, 0, few.num_rows)
-        symbols = model.symbols(h)
-        for _ in range(start_passes):
-            model = maximise(expect(model, symbols, cuts), states, n, 0.1)
-    for _ in range(passes):
-        counts = _pass(docs, model)
-        if counts[-1]:
-            model = maximise(counts, states, n)
-    return model
+def train(docs: DataFrame, states: int = STATES, n: int = CLASSES, passes: int = PASSES) -> Hmm:
+    """Baum-Welch from initial(), every pass over every row of docs: `passes` of them at least, and then until one starts from a
+    likelihood that is less than TOLERANCE a token above that of the one before."""
+    model, coded, last, done = initial(states, n), _coded(docs, n), -np.inf, 0
+    while True:
+        counts = _pass(coded, model)
+        if not counts[-1]:
+            return model
+        model, done = maximise(counts, states, n), done + 1
+        now = counts[-2] / counts[states + states * states : -2].sum()
+        if done >= passes and now - last < TOLERANCE:
+            return model
+        last = now
 
 
 TALLY = pa.schema([("_bucket", pa.int32()), ("owner", pa.int32()), ("n", pa.int32()), ("answer", pa.binary()), ("stats", pa.binary())])

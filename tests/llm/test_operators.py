@@ -374,6 +374,22 @@ def test_forward_and_counts():
         last, m = counts[-2], language_model.maximise(counts, 3, 5, 1e-12)
 
 
+def test_training_takes_all_rows(docs, rows):
+    """The same model as plain passes over all texts, long ones too, until a pass gains little."""
+    import pyarrow as pa
+
+    data, offsets = kernel.column(pa.array([t or "" for _, t in rows]))
+    h, cuts = language_model.tokens(data, offsets, 0, len(rows))
+    m, logs = language_model.initial(3, 64), []
+    while len(logs) < 3 or logs[-1] - logs[-2] >= 1e-3:
+        counts = language_model.expect(m, m.symbols(h), cuts)
+        logs.append(counts[-2] / len(h))
+        m = language_model.maximise(counts, 3, 64)
+    got = language_model.train(docs, 3, 64, 3)
+    assert len(logs) > 3
+    assert all(np.allclose(a, b, rtol=1e-5, atol=1e-9) for a, b in ((got.start, m.start), (got.move, m.move), (got.emit, m.emit)))
+
+
 def test_language_model(docs, rows, empty):
     out = language_model.language_scores(docs, states=3, n=64, passes=2)
     got = sorted(out.collect(), key=repr)
