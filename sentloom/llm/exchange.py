@@ -42,6 +42,18 @@ def cut(df: DataFrame) -> DataFrame:
     return kept
 
 
+def cut_by(df: DataFrame, key: str) -> DataFrame:
+    """Like cut(), parted by key, so that later groupings by key needn't move these rows. Spark notes how a kept table is parted
+    only where its plan was final from the start, so adaptive planning is off for this one step."""
+    conf = df.sparkSession.conf
+    adaptive = conf.get("spark.sql.adaptive.enabled")
+    conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        return cut(df.repartition(int(conf.get("spark.sql.shuffle.partitions")), key))
+    finally:
+        conf.set("spark.sql.adaptive.enabled", adaptive)
+
+
 def corpus(docs: DataFrame, *more) -> DataFrame:
     """doc_id, text and nothing else, whatever other columns there are."""
     return docs.select(F.col(DOC).cast("long").alias(DOC), F.col(TEXT).cast("string").alias(TEXT), *more)

@@ -359,39 +359,98 @@ def test_forward_and_counts():
     import itertools
 
     rng = np.random.default_rng(1)
-    m = language_model.initial(3, 5)
+    norm = lambda x: x / x.sum(axis=-1, keepdims=True)
+    start, move, emit = norm(rng.random(3)), norm(rng.random((3, 3))), norm(rng.random((3, 6)))
     seqs = [rng.integers(0, 6, n) for n in (1, 4, 2)]
     cuts = np.concatenate([[0], np.cumsum([len(s) for s in seqs])])
-    symbols = np.concatenate(seqs)
-    exp = [math.log(sum(m.start[p[0]] * m.emit[p[0], s[0]] * math.prod(m.move[a, b] * m.emit[b, x] for a, b, x in zip(p, p[1:], s[1:])) for p in itertools.product(range(3), repeat=len(s)))) for s in seqs]
-    assert np.allclose(language_model.forward(m, symbols, cuts), exp)
-    counts = language_model.expect(m, symbols, cuts)
-    assert np.isclose(counts[:3].sum(), 3) and np.isclose(counts[3:12].sum(), 4) and np.isclose(counts[12:30].sum(), 7)
+    symbols, running, order = language_model.by_step(np.concatenate(seqs), cuts, np.arange(3))
+    assert running.tolist() == [3, 2, 1, 1] and order.tolist() == [1, 2, 0]
+    exp = [math.log(sum(start[p[0]] * emit[p[0], s[0]] * math.prod(move[a, b] * emit[b, x] for a, b, x in zip(p, p[1:], s[1:])) for p in itertools.product(range(3), repeat=len(s)))) for s in seqs]
+    assert np.allclose(language_model.forward(emit, start, move, symbols, running), [exp[i] for i in order])
+    begun, moved, emitted, logs = language_model.expect(emit, start, move, symbols, running)
+    assert np.isclose(begun.sum(), 3) and np.isclose(moved.sum(), 4) and np.isclose(emitted.sum(), 7) and np.isclose(logs, sum(exp), rtol=1e-5)
+    assert np.allclose(emitted.sum(axis=0), np.bincount(np.concatenate(seqs), minlength=6), atol=1e-5)
     last = -np.inf
     for _ in range(20):
-        counts = language_model.expect(m, symbols, cuts)
-        assert counts[-2] >= last - 1e-9
-        last, m = counts[-2], language_model.maximise(counts, 3, 5, 1e-12)
-
-
-def test_training_takes_all_rows(docs, rows):
-    """The same model as plain passes over all texts, long ones too, until a pass gains little."""
-    import pyarrow as pa
-
-    data, offsets = kernel.column(pa.array([t or "" for _, t in rows]))
-    h, cuts = language_model.tokens(data, offsets, 0, len(rows))
-    m, logs = language_model.initial(3, 64), []
-    while len(logs) < 3 or logs[-1] - logs[-2] >= 1e-3:
-        counts = language_model.expect(m, m.symbols(h), cuts)
-        logs.append(counts[-2] / len(h))
-        m = language_model.maximise(counts, 3, 64)
-    got = language_model.train(docs, 3, 64, 3)
-    assert len(logs) > 3
-    assert all(np.allclose(a, b, rtol=1e-5, atol=1e-9) for a, b in ((got.start, m.start), (got.move, m.move), (got.emit, m.emit)))
+        begun, moved, emitted, logs = language_model.expect(emit, start, move, symbols, running)
+        assert logs >= last - 1e-3
+        last, start, move, emit = logs, norm(begun + 1e-12), norm(moved + 1e-12), norm(emitted + 1e-12)
+
+
+def plain_model(rows, states, passes, prior=language_model.PRIOR, add=0.1):
+    """Baum-Welch by loops over words, one text after another, in double: the scores of all rows, and the likelihoods of a token."""
+    texts = [[*brute.WORD.findall((t or "").translate(brute.UPPER)), None] for _, t in rows]
+    train = [w for (d, _), w in zip(rows, texts) if zlib.crc32(("" if d is None else str(d)).encode()) % 10]
+    count = Counter(x for w in train for x in w)
+    words = list(count)
+    n, v = sum(count.values()), len(words)
+    unknown = add / (n + add * (v + 1))
+    c = np.array([count[x] for x in words], float)
+    band = [min(int((int(x).bit_length() - 1) * states / max(1.0, 0.75 * math.log2(n))), states - 1) for x in c]
+    lean = np.full((states, v), 0.3 / states)
+    lean[band, np.arange(v)] += 0.7
+    expected = lean * c
+    start, move = np.full(states, 1 / states), 0.5 / states + 0.5 * np.eye(states)
+    place = {x: i for i, x in enumerate(words)}
+
+    def emit():
+        known = (1 - unknown) * (expected + prior * (c + add) / (n + add * v)) / (expected.sum(axis=1, keepdims=True) + prior)
+        return lambda x: known[:, place[x]] if x in place else np.full(states, unknown)
+
+    def run(w, e):
+        a, out, scale = None, [], []
+        for x in w:
+            a = (start if a is None else a @ move) * e(x)
+            scale.append(a.sum())
+            a = a / scale[-1]
+            out.append(a)
+        return out, scale
+
+    history = []
+    for _ in range(passes):
+        e, begun, moved, new, logs = emit(), np.zeros(states), np.zeros((states, states)), np.zeros_like(expected), 0.0
+        for w in train:
+            alpha, scale = run(w, e)
+            logs += sum(map(math.log, scale))
+            beta = np.ones(states)
+            for t in range(len(w) - 1, -1, -1):
+                new[:, place[w[t]]] += alpha[t] * beta
+                ahead = e(w[t]) * beta / scale[t]
+                if t:
+                    moved += np.outer(alpha[t - 1], ahead) * move
+                    beta = move @ ahead
+                else:
+                    begun += alpha[0] * beta
+        norm = lambda x: (x + 0.01) / (x + 0.01).sum(axis=-1, keepdims=True)
+        start, move, expected = norm(begun), norm(moved), new
+        history.append(logs / n)
+    e = emit()
+    return [sum(map(math.log10, run(w, e)[1])) for w in texts], history
+
+
+def test_training_takes_all_rows(docs, rows, monkeypatch):
+    """The same scores and likelihoods as plain passes over all texts, long ones too, in several blocks of each length."""
+    monkeypatch.setattr(language_model, "BLOCK_BYTES", 4000)
+    exp, history = plain_model(rows, 3, 5)
+    blocks, owners = language_model.coded(docs, 10)
+    assert owners > 5
+    model, _, _ = language_model.train(blocks, owners, 3, least=5, most=5)
+    assert np.allclose(model.history, history, rtol=1e-4)
+    got = language_model.language_scores(docs, states=3, least=5, most=5).collect()
+    assert len(got) == len(rows)
+    for (a, s), (b, r) in zip(sorted((repr(r["doc_id"]), r["score"]) for r in got), sorted((repr(d), s) for (d, _), s in zip(rows, exp))):
+        assert a == b and math.isclose(s, r, rel_tol=2e-3)
+
+
+def test_training_ends_when_a_pass_gains_little(docs):
+    blocks, owners = language_model.coded(docs, 10)
+    model, _, _ = language_model.train(blocks, owners, 3, tolerance=0.05)
+    gains = np.diff(model.history)
+    assert len(gains) and gains[-1] < 0.05 and (gains[:-1] >= 0.05).all() and (gains > -1e-3).all()
 
 
 def test_language_model(docs, rows, empty):
-    out = language_model.language_scores(docs, states=3, n=64, passes=2)
+    out = language_model.language_scores(docs, states=3)
     got = sorted(out.collect(), key=repr)
     exp = plain(brute.unigram(rows))
     assert [tuple(r)[:5] for r in got] == [x[:5] for x in exp]
@@ -399,9 +458,9 @@ def test_language_model(docs, rows, empty):
     assert all(r["score"] < 0 for r in got)
     train = [r for r in got if not r["held_out"]]
     assert sum(r["score"] for r in train) > sum(r["base_score"] for r in train)
-    assert language_model.language_scores(empty, states=2, n=16).count() == 0
-    none = language_model.language_scores(docs, folds=1, states=2, n=16).collect()
-    assert all(r["held_out"] and r["n_known"] == 0 and r["train_tokens"] == 0 for r in none)
+    assert language_model.language_scores(empty, states=2).count() == 0
+    none = language_model.language_scores(docs, folds=1, states=2).collect()
+    assert len(none) == len(rows) and all(r["held_out"] and r["n_known"] == 0 and r["train_tokens"] == 0 and r["base_score"] == 0 and r["score"] == 0 for r in none)
 
 
 # ---- 10: shards -----------------------------------------------------------------------------------------------------
