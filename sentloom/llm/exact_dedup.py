@@ -2,7 +2,8 @@
 
 Each bucket of documents sends the sorted distinct fingerprints of its texts to their owners as Golomb codes with a
 power-of-two parameter; owners answer with a bitmap of those that occur elsewhere. Only documents with a marked
-fingerprint, or with one that their own bucket has twice, are suspects, and only their texts are compared.
+fingerprint, or with one that their own bucket has twice, are suspects, and only their texts are shuffled and compared:
+a Bloom filter of bounded size keeps the others where they are.
 """
 
 from __future__ import annotations
@@ -48,14 +49,12 @@ def _own(table: pa.Table) -> pa.Table:
 
 
 def _suspects(table: pa.Table, said: pa.Table) -> pa.Table:
-    schema = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])
+    """The bucket's fingerprints that others have too, or it has twice; each once."""
+    schema = pa.schema([("fp", pa.int64())])
     if not table.num_rows:
         return schema.empty_table()
-    fp = table.column("fp").to_numpy()
-    keys, which, count = X.inverse_counts(fp.astype(np.uint64))
-    mark = (X.bits(said) | (count > 1))[which]
-    ids = table.column(X.DOC).combine_chunks()
-    return pa.table([ids.filter(pa.array(mark)), pa.array(fp[mark], pa.int64())], schema=schema).group_by(["doc_id", "fp"]).aggregate([]).select(["doc_id", "fp"]).cast(schema)
+    keys, _, count = X.inverse_counts(table.column("fp").to_numpy().astype(np.uint64))
+    return pa.table([pa.array(keys[X.bits(said) | (count > 1)].astype(np.int64))], schema=schema)
 
 
 def exact_groups(docs: DataFrame) -> DataFrame:
@@ -71,11 +70,9 @@ def exact_groups(docs: DataFrame) -> DataFrame:
     buckets = max(1, -(-docs.count() // KEYS_EACH), min(8, docs.sparkSession.sparkContext.defaultParallelism))
     slim = X.bucketed(docs, buckets).withColumn("fp", F.xxhash64(F.coalesce(F.col(X.TEXT), F.lit("")))).select(X.DOC, "fp", X.BUCKET)
     said = X.owned(slim.groupBy(X.BUCKET).applyInArrow(_ask(buckets), X.ASK), _own)
-    suspects = X.cut(slim.groupBy(X.BUCKET).cogroup(said.groupBy(X.BUCKET)).applyInArrow(_suspects, "doc_id long, fp long"))
-    # byte verification: rows with one fingerprint are grouped by the text itself; map-side, so copies collapse before they travel
-    sus = suspects.select(F.col("doc_id").alias("_d"), F.col("fp").alias("_f"))
-    match = F.col(X.DOC).eqNullSafe(F.col("_d")) & (F.col("fp") == F.col("_f"))
-    texts = full.join(sus, match, "left_semi")
+    suspects = X.cut(slim.groupBy(X.BUCKET).cogroup(said.groupBy(X.BUCKET)).applyInArrow(_suspects, "fp long"))
+    # byte verification: suspects are grouped by the text itself; map-side, so copies collapse before they travel
+    texts = full.where(X.sieve(suspects, "fp")(F.col("fp")))
     groups = texts.groupBy("fp", X.TEXT).agg(F.max(X.DOC).alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
     groups = X.cut(groups.select("fp", F.sha2(X.TEXT, 256).alias("sha"), "keep_id", "group_size").where("group_size > 1"))
     out = full.select(X.DOC, F.sha2(X.TEXT, 256).alias("text_sha256"))
@@ -107,9 +104,10 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
     """The rows of docs, all columns, without those of which an equal text with a larger doc_id stays; of rows that
     repeat both doc_id and text, one stays."""
     marks = exact_groups(docs).where("group_size > 1").groupBy(F.col("doc_id").alias("_d"), F.col("text_sha256").alias("_sha")).agg(F.first("kept").alias("_kept"), F.count(F.lit(1)).alias("_n"))
-    marks = X.cut(marks)
-    match = F.col("_d").eqNullSafe(F.col(X.DOC)) & (F.col("_sha") == F.sha2(F.coalesce(F.col(X.TEXT).cast("string"), F.lit("")), 256))
-    out = docs.join(marks.where("not _kept"), match, "left_anti")
+    marks = X.cut(marks.withColumn("_h", F.xxhash64("_d", "_sha")))
+    sha = F.sha2(F.coalesce(F.col(X.TEXT).cast("string"), F.lit("")), 256)
+    match = F.col("_d").eqNullSafe(F.col(X.DOC)) & (F.col("_sha") == sha)
+    out = X.left_out(docs, marks.where("not _kept"), F.xxhash64(F.col(X.DOC).cast("long"), sha), match, "_h")
     again = marks.where("_kept and _n > 1")
     if again.isEmpty():
         return out

@@ -14,44 +14,119 @@ import os
 import tempfile
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .kernel import U, mix
+
 BUCKET_BYTES = 16 << 20
 DOC, TEXT, BUCKET = "doc_id", "text", "_bucket"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a local one is set only where none is named, as in tests."""
+    """The cluster's shared folder; a local one is set only where none is named and all runs on one machine, as in tests."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     jsc = spark.sparkContext._jsc.sc()
     if jsc.getCheckpointDir().isEmpty():
+        if not named and not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that all executors share")
         spark.sparkContext.setCheckpointDir(named or os.path.join(tempfile.gettempdir(), "sentloom-checkpoints"))
     return named or jsc.getCheckpointDir().get()
 
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def _set(spark: SparkSession, name: str, value: str | None) -> str | None:
+    old = spark.conf.get(name, None)
+    spark.conf.unset(name) if value is None else spark.conf.set(name, value)
+    return old
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """The same rows, kept in the shared folder, without lineage. Shuffle files that led there go as soon as the driver's
-    JVM collects its garbage, which it would do too rarely by itself for large inputs."""
+    """The same rows, kept in the shared folder, without lineage. Shuffle files that led there go as soon as the rows are kept."""
     spark = df.sparkSession
     shared_dir(spark)
-    kept = df.checkpoint(eager=True)
-    del df
-    spark.sparkContext._jvm.System.gc()
-    return kept
+    old = _set(spark, CLEANUP, "true")
+    try:
+        return df.select("*").checkpoint(eager=True)  # a plan takes the setting of the moment when it is made
+    finally:
+        _set(spark, CLEANUP, old)
+
+
+def release(kept: DataFrame) -> None:
+    """Deletes the files of a table that cut() made and nothing reads any more."""
+    spark = kept.sparkSession
+    path = kept._jdf.queryExecution().logical().rdd().getCheckpointFile()
+    if path.isDefined():
+        path = spark._jvm.org.apache.hadoop.fs.Path(path.get())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def cut_by(df: DataFrame, key: str) -> DataFrame:
     """Like cut(), parted by key, so that later groupings by key needn't move these rows. Spark notes how a kept table is parted
     only where its plan was final from the start, so adaptive planning is off for this one step."""
-    conf = df.sparkSession.conf
-    adaptive = conf.get("spark.sql.adaptive.enabled")
-    conf.set("spark.sql.adaptive.enabled", "false")
+    spark = df.sparkSession
+    old = _set(spark, "spark.sql.adaptive.enabled", "false")
     try:
-        return cut(df.repartition(int(conf.get("spark.sql.shuffle.partitions")), key))
+        return cut(df.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), key))
     finally:
-        conf.set("spark.sql.adaptive.enabled", adaptive)
+        _set(spark, "spark.sql.adaptive.enabled", old)
+
+
+SIEVE_BITS = 1 << 28  # 32 MB is the most that goes to every task
+SEGMENT = 1 << 15  # words of a sieve that one task sets
+
+
+def _bits_of(keys: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """(word, its two bits) of each key."""
+    x = mix(keys.astype(np.int64).view(U))
+    return ((x >> U(32)) * U(words) >> U(32)).astype(np.int64), (U(1) << (x & U(63))) | (U(1) << ((x >> U(6)) & U(63)))
+
+
+def sieve(keys: DataFrame, column: str):
+    """A filter for rows: Column of a long -> Column that is true for all keys in `column` of keys, and for few others.
+
+    It is a Bloom filter of 16 bits a key, made in segments on the executors. Its size is bounded; with so many keys that it would be
+    full, more and at last all rows pass. So it only saves shuffling: what passes is still joined.
+    """
+    keys = keys.select(F.col(column).cast("long").alias("k"))
+    n = keys.count()
+    if n > SIEVE_BITS // 2:
+        return lambda c: F.lit(True)
+    words = max(SEGMENT, min(SIEVE_BITS, 1 << (16 * n).bit_length()) // 64)
+
+    def place(batches):
+        for batch in batches:
+            word, _ = _bits_of(batch.column(0).to_numpy(), words)
+            yield pa.RecordBatch.from_arrays([pa.array(word // SEGMENT, pa.int32()), batch.column(0)], names=["segment", "k"])
+
+    def build(table: pa.Table) -> pa.Table:
+        word, bits = _bits_of(np.unique(table.column("k").to_numpy()), words)
+        out = np.zeros(SEGMENT, U)
+        np.bitwise_or.at(out, word % SEGMENT, bits)
+        return pa.table([table.column("segment").slice(0, 1), pa.array([out.tobytes()], pa.binary())], names=["segment", "bits"])
+
+    made = np.zeros(words, U)
+    for r in keys.mapInArrow(place, "segment int, k long").groupBy("segment").applyInArrow(build, "segment int, bits binary").toLocalIterator():
+        made[r["segment"] * SEGMENT :][:SEGMENT] = np.frombuffer(r["bits"], U)
+    shared = keys.sparkSession.sparkContext.broadcast(made)
+
+    @F.pandas_udf("boolean")
+    def passes(k: pd.Series) -> pd.Series:
+        word, bits = _bits_of(k.to_numpy(), words)
+        return pd.Series(shared.value[word] & bits == bits)
+
+    return lambda c: passes(c)
+
+
+def left_out(rows: DataFrame, gone: DataFrame, key: Column, match: Column, column: str) -> DataFrame:
+    """rows without those that match a row of gone. key: a long of each row, equal to `column` of gone where they match. Rows
+    that the sieve stops stay where they are; only the others are shuffled."""
+    may = sieve(gone, column)
+    return rows.where(~may(key)).unionByName(rows.where(may(key)).join(gone, match, "left_anti"))
 
 
 def corpus(docs: DataFrame, *more) -> DataFrame:

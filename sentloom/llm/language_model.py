@@ -290,8 +290,10 @@ def train(blocks: DataFrame, owners: int, states: int = STATES, add: float = 0.1
     norm = lambda x: (x + 0.01) / (x + 0.01).sum(axis=-1, keepdims=True)
     while seen and len(model.history) < most:
         texts = blocks.select("_bucket", "keys", "counts", "train", "train_running")
-        new = texts.groupBy(X.BUCKET).cogroup(told.drop("stats").groupBy(X.BUCKET)).applyInArrow(step_of(model), ASKED_SQL).groupBy("owner").applyInArrow(own, TOLD_SQL)
-        told = X.cut(new)
+        asked = texts.groupBy(X.BUCKET).cogroup(told.drop("stats").groupBy(X.BUCKET)).applyInArrow(step_of(model), ASKED_SQL)
+        before, told = told, X.cut(asked.groupBy("owner").applyInArrow(own, TOLD_SQL))
+        if before is not counts:
+            X.release(before)
         got = _summed(told)
         a, b = states, states + states * states
         now = float(got[b] / got[b + 2])

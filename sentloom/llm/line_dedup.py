@@ -39,18 +39,30 @@ def line_dedup(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> DataF
     several = _semi(hashed, keys)
     bad = several.select("h1", "h2", "d").distinct().groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.max("d").alias("hi")).where(f"n >= {min_docs}")
     # repeated rows give each of their places again
-    drops = _with_last(several, bad).where("d < hi").groupBy(*ROW).agg(F.collect_set("pos").alias("drops"))
-    rows = full.join(drops, ROW, "left")
-    kept = F.filter(parted, lambda _, i: ~F.array_contains(F.col("drops"), i))
-    none = F.col("drops").isNull()
+    drops = _with_last(several, bad).where("d < hi").groupBy(*ROW).agg(F.sort_array(F.collect_set("pos")).alias("drops"))
+    drops = X.cut(drops.select(*ROW, F.size("drops").alias("n_drops"), _mask(F.col("drops")).alias("mask")).withColumn("h", F.xxhash64(*ROW)))
+    # texts without drops stay where they are
+    may = X.sieve(drops, "h")(F.xxhash64(*ROW))
+    whole = full.where(~may).select("*", F.lit(None).cast("int").alias("n_drops"), F.lit(None).cast("binary").alias("mask"))
+    rows = whole.unionByName(full.where(may).join(drops.drop("h"), ROW, "left").select(whole.columns))
+    kept = F.filter(parted, lambda _, i: F.substring(F.col("mask"), i + 1, F.lit(1)) != F.lit(b"1"))
+    none = F.col("mask").isNull()
     return rows.select(
         X.DOC,
         (F.length(X.TEXT) - F.length(F.replace(F.col(X.TEXT), F.lit("\n"), F.lit(""))) + 1).cast("long").alias("n_lines"),
-        F.when(none, F.lit(0)).otherwise(F.size("drops")).cast("long").alias("n_dropped"),
+        F.when(none, F.lit(0)).otherwise(F.col("n_drops")).cast("long").alias("n_dropped"),
         F.when(none, F.col(X.TEXT)).otherwise(F.array_join(kept, "\n")).alias("kept_text"),
     )
 
 
+def _mask(places: Column) -> Column:
+    """A byte for each line up to the last place: "1" at the places (sorted, from 0), "0" elsewhere. A look into it takes the same
+    time however many there are."""
+    before = F.concat(F.array(F.lit(-1)), places)
+    runs = F.zip_with(places, F.slice(before, 1, F.size(places)), lambda p, q: F.concat(F.repeat(F.lit("0"), p - q - 1), F.lit("1")))
+    return F.array_join(runs, "").cast("binary")
+
+
 def _semi(rows: DataFrame, keys: DataFrame) -> DataFrame:
     """Rows with a key of `keys`; keys of many rows are few by count and broadcast."""
     if keys.where(f"n > {HOT_ROWS}").isEmpty():
