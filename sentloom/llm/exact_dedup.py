@@ -88,13 +88,14 @@ def exact_groups(docs: DataFrame) -> DataFrame:
 HOT_ROWS = 100_000
 
 
-def attach(rows: DataFrame, groups: DataFrame, key: str, size: str) -> DataFrame:
-    """Left join of rows to one row for each key. Keys of more than HOT_ROWS rows are at most rows / HOT_ROWS many, so
+def attach(rows: DataFrame, groups: DataFrame, key: str, size: str, limit: int | None = None) -> DataFrame:
+    """Left join of rows to one row for each key. Keys of more than `limit` rows (HOT_ROWS) are at most rows / limit many, so
     these are broadcast; the others are shuffled, and none of them is large."""
-    hot = groups.where(F.col(size) > HOT_ROWS)
+    limit = HOT_ROWS if limit is None else limit
+    hot = groups.where(F.col(size) > limit)
     if hot.isEmpty():
         return rows.join(groups, key, "left")
-    cold = groups.where(F.col(size) <= HOT_ROWS)
+    cold = groups.where(F.col(size) <= limit)
     first = rows.join(F.broadcast(hot), key, "left")
     others = [c for c in groups.columns if c != key]
     return first.where(F.col(size).isNotNull()).unionByName(first.where(F.col(size).isNull()).drop(*others).join(cold, key, "left"))

@@ -45,8 +45,7 @@ def _set(spark: SparkSession, name: str, value: str | None) -> str | None:
     return old
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """The same rows, kept in the shared folder, without lineage. Shuffle files that led there go as soon as the rows are kept."""
+def _kept(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     shared_dir(spark)
     old = _set(spark, CLEANUP, "true")
@@ -56,6 +55,15 @@ def cut(df: DataFrame) -> DataFrame:
         _set(spark, CLEANUP, old)
 
 
+def cut(df: DataFrame) -> DataFrame:
+    """The same rows, kept in the shared folder, without lineage. Shuffle files that led there go as soon as the rows are kept.
+
+    Nor does the plan know what sizes were estimated before: a loop of joins would square the estimate in each round.
+    """
+    spark, kept = df.sparkSession, _kept(df)._jdf
+    return DataFrame(spark._jsparkSession.internalCreateDataFrame(kept.queryExecution().logical().rdd(), kept.schema(), False), spark)
+
+
 def release(kept: DataFrame) -> None:
     """Deletes the files of a table that cut() made and nothing reads any more."""
     spark = kept.sparkSession
@@ -71,7 +79,7 @@ def cut_by(df: DataFrame, key: str) -> DataFrame:
     spark = df.sparkSession
     old = _set(spark, "spark.sql.adaptive.enabled", "false")
     try:
-        return cut(df.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), key))
+        return _kept(df.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), key))
     finally:
         _set(spark, "spark.sql.adaptive.enabled", old)
 

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import exchange as X
-from .exact_dedup import HOT_ROWS, attach
+from .exact_dedup import attach
 from .kernel import MUL, U, Words, chunks, column, mix
 
 BANDS, ROWS = 40, 5
@@ -86,37 +86,78 @@ def _sketch(width: int, bands: int, rows: int):
     return run
 
 
+def _sets(table: pa.Table, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """(fingerprints of all texts' sets one after another, their cuts)."""
+    data, offsets = column(table.column(X.TEXT))
+    parts = [shingle_sets(data, offsets, i, j, width) for i, j in chunks(offsets)]
+    cuts = np.concatenate([[0], np.cumsum(np.concatenate([np.diff(c) for _, c in parts]))]) if parts else np.zeros(1, np.int64)
+    return np.concatenate([h for h, _ in parts]) if parts else np.empty(0, U), cuts.astype(np.int64)
+
+
+def _taken(h: np.ndarray, cuts: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sets number `which` one after another, and for each element its place in `which`."""
+    size = cuts[which + 1] - cuts[which]
+    shift = cuts[which] - (np.cumsum(size) - size)
+    return h[np.arange(int(size.sum())) + np.repeat(shift, size)], np.repeat(np.arange(len(which)), size)
+
+
+def alike(a: tuple, b: tuple, x: np.ndarray, y: np.ndarray, percent: int) -> np.ndarray:
+    """Whether sets x of a and y of b, pair by pair, are alike enough."""
+    ok = np.zeros(len(x), bool)
+    sizes = (np.diff(a[1])[x], np.diff(b[1])[y])
+    begin = 0
+    for end in _slices(sizes[0] + sizes[1]):
+        u, v = x[begin:end], y[begin:end]
+        (p, i), (q, j) = _taken(*a, u), _taken(*b, v)
+        h, pair = np.concatenate([p, q]), np.concatenate([i, j])
+        order = np.lexsort((h, pair))
+        h, pair = h[order], pair[order]
+        twice = (h[1:] == h[:-1]) & (pair[1:] == pair[:-1])
+        both = np.bincount(pair[1:][twice], minlength=len(u))
+        union = sizes[0][begin:end] + sizes[1][begin:end] - both
+        ok[begin:end] = (100 * both >= percent * union) & (union > 0)
+        begin = end
+    return ok
+
+
+def _slices(sizes: np.ndarray, limit: int = 1 << 17):
+    """Ends of runs whose sizes add up to about limit."""
+    total, begin = np.cumsum(sizes), 0
+    while begin < len(sizes):
+        begin = max(begin + 1, int(np.searchsorted(total, (total[begin - 1] if begin else 0) + limit, "right")))
+        yield begin
+
+
 def _verify(width: int, percent: int):
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
-    def run(batches):
-        for batch in batches:
-            da, oa = column(batch.column(2))
-            db, ob = column(batch.column(3))
-            n = batch.num_rows
-            ok = np.zeros(n, bool)
-            for i, j in chunks(oa + ob):
-                ha, ca = shingle_sets(da, oa, i, j, width)
-                hb, cb = shingle_sets(db, ob, i, j, width)
-                pair = np.concatenate([np.repeat(np.arange(j - i), np.diff(ca)), np.repeat(np.arange(j - i), np.diff(cb))])
-                h = np.concatenate([ha, hb])
-                order = np.lexsort((h, pair))
-                h, pair = h[order], pair[order]
-                twice = (h[1:] == h[:-1]) & (pair[1:] == pair[:-1])
-                both = np.bincount(pair[1:][twice], minlength=j - i)
-                union = np.diff(ca) + np.diff(cb) - both
-                ok[i:j] = (100 * both >= percent * union) & (union > 0)
-            mask = pa.array(ok)
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], schema=schema)
+    def run(table: pa.Table, hubs: pa.Table) -> pa.Table:
+        if not table.num_rows or not hubs.num_rows:
+            return schema.empty_table()
+        names = hubs.column("a").to_numpy()
+        order = np.argsort(names, kind="stable")
+        place = order[np.searchsorted(names[order], table.column("a").to_numpy())]
+        ok = pa.array(alike(_sets(hubs, width), _sets(table, width), place, np.arange(table.num_rows), percent))
+        return pa.table([table.column("a").filter(ok), table.column("b").filter(ok)], schema=schema)
 
     return run
 
 
+FAN = 256  # pairs that share one copy of a hub's text
+
+
 def confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets are alike enough. texts: one text for each id. One text travels with each pair, to the other's."""
-    one = pairs.join(texts.select(F.col("id").alias("b"), F.col(X.TEXT).alias("tb")), "b")
-    both = one.join(texts.select(F.col("id").alias("a"), F.col(X.TEXT).alias("ta")), "a").select("a", "b", "ta", "tb")
-    return both.mapInArrow(_verify(width, percent), "a long, b long")
+    """The distinct pairs (a, b) whose full sets are alike enough. texts: one text for each id. The text of b travels with its pair, that of a
+    once for FAN pairs, so a text that is in very many pairs costs little more than the others."""
+    about = texts.agg(F.avg(F.octet_length(X.TEXT))).first()[0] or 0
+    groups = max(1, int(pairs.count() * about) >> 22)
+    fans = X.cut(pairs.groupBy("a").agg(F.count(F.lit(1)).alias("fan")))
+    spread = attach(pairs, fans, "a", "fan").withColumn("chunk", F.pmod(F.xxhash64("b"), F.ceil(F.col("fan") / FAN)))
+    spread = X.cut(spread.select("a", "b", "chunk", F.pmod(F.xxhash64("a", "chunk"), F.lit(groups)).alias("g")))
+    left = spread.join(texts.select(F.col("id").alias("b"), X.TEXT), "b").select("g", "a", "b", X.TEXT)
+    right = spread.select("g", "a").distinct().join(texts.select(F.col("id").alias("a"), X.TEXT), "a").select("g", "a", X.TEXT)
+    right = right.select(*[F.col(c).alias(c) for c in right.columns])  # columns of their own, as cogroup wants
+    return left.groupBy("g").cogroup(right.groupBy("g")).applyInArrow(_verify(width, percent), "a long, b long")
 
 
 def linked(sets: list[np.ndarray], percent: int) -> np.ndarray:
@@ -176,19 +217,111 @@ def count_links(parts: DataFrame, texts: DataFrame, width: int, percent: int) ->
     return cells.join(texts, "id").groupBy("g", "x", "y").applyInArrow(_count(width, percent), "id long, links long").groupBy("id").agg(F.sum("links").alias("links"))
 
 
-def components(links: DataFrame, hot: int = HOT_ROWS) -> DataFrame:
+def components(links: DataFrame, hot: int | None = None) -> DataFrame:
     """(id, c) of every id in links (a, b): c is the least id that can be reached. Alternates between each vertex taking
-    the least label around it and labels taking their own label, so that chains halve; every round is kept in the shared folder."""
+    the least label around it and labels taking their own label, so that chains halve; every round is kept in the shared folder.
+    Labels that more than `hot` rows (attach's HOT_ROWS) ask for are few and broadcast, so neither a hub's links nor a large component meet in one task."""
     edges = X.cut(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    label = X.cut(edges.groupBy("a").agg(F.least(F.min("b"), F.min("a")).alias("c")).withColumnRenamed("a", "id"))
+    label = X.cut(edges.groupBy("a").agg(F.least(F.min("b"), F.min("a")).alias("c"), F.count(F.lit(1)).alias("n")).withColumnRenamed("a", "id"))
+    last = label
     while True:
-        near = edges.join(label.select(F.col("id").alias("b"), "c"), "b").groupBy("a").agg(F.min("c").alias("m"))
-        step = label.join(near.withColumnRenamed("a", "id"), "id").select("id", F.col("c").alias("old"), F.least("c", "m").alias("c"))
-        up = step.select(F.col("id").alias("c"), F.col("c").alias("top"))
-        new = X.cut(step.join(up, "c", "left").select("id", "old", F.least(F.col("c"), F.coalesce("top", "c")).alias("c")))
+        near = attach(edges, label.select(F.col("id").alias("b"), "c", "n"), "b", "n", hot).groupBy("a").agg(F.min("c").alias("m"))
+        step = X.cut(label.join(near.withColumnRenamed("a", "id"), "id").select("id", "n", F.col("c").alias("old"), F.least("c", "m").alias("c")))
+        asked = step.groupBy("c").agg(F.count(F.lit(1)).alias("many"))
+        up = X.cut(asked.join(step.select(F.col("id").alias("c"), F.col("c").alias("top")), "c"))
+        new = X.cut(attach(step, up, "c", "many", hot).select("id", "n", "old", F.least(F.col("c"), F.coalesce("top", "c")).alias("c")))
+        for x in (last, step, up):
+            X.release(x)
         if new.where("c <> old").isEmpty():
+            X.release(edges)
             return new.select("id", "c")
-        label = new.select("id", "c")
+        last, label = new, new.select("id", "c", "n")
+
+
+PAIRS = 16  # classes that a bucket may have for all its pairs to be listed
+HUBS = 2  # further hubs that a larger bucket has before its blocks are set against each other
+
+
+def _across(width: int, percent: int):
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def run(table: pa.Table) -> pa.Table:
+        """Links between different components within one block or between two, as many as join them: fewer than there are classes."""
+        ids, c, block = (table.column(x).to_numpy() for x in ("id", "c", "block"))
+        h, cuts = _sets(table, width)
+        ok = linked([h[x:y] for x, y in zip(cuts[:-1], cuts[1:])], percent)
+        ok &= c[:, None] != c
+        if table.column("x")[0].as_py() != table.column("y")[0].as_py():
+            ok &= block[:, None] != block
+        root = {int(v): int(v) for v in c}
+
+        def top(v: int) -> int:
+            while root[v] != v:
+                root[v] = v = root[root[v]]
+            return v
+
+        out = []
+        for i, j in zip(*np.nonzero(np.triu(ok))):
+            p, q = top(int(c[i])), top(int(c[j]))
+            if p != q:
+                root[p] = q
+                out.append((min(int(ids[i]), int(ids[j])), max(int(ids[i]), int(ids[j]))))
+        return pa.table([pa.array([a for a, _ in out], pa.int64()), pa.array([b for _, b in out], pa.int64())], schema=schema)
+
+    return run
+
+
+def merged(inner: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame | None:
+    """(id, c) of all classes that are linked to another one, from inner (key, id, s, n, hub): the buckets' members with their set's size, their
+    number and their least member. None if there are no links.
+
+    Every member is set against its bucket's hub first. A bucket whose members are then still in several components goes
+    on: one of up to PAIRS classes lists its pairs; a larger one gets HUBS further hubs, and what is left of it is cut into
+    blocks of BLOCK classes, every two of which meet in one task. So no pair of a bucket is left out whose classes aren't joined
+    already, and no more pairs are listed than PAIRS times as many as the buckets have members.
+    """
+    tested = X.cut(inner.where("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct())
+    links = X.cut(confirmed(tested, texts, width, percent))
+    sizes = f"100 * least(x.s, y.s) >= {percent} * greatest(x.s, y.s)"
+
+    def parted() -> DataFrame:
+        """The members of buckets that have several components."""
+        one = inner.select("key", "id", "s", "n")
+        rows = one.join(found, "id", "left").withColumn("c", F.coalesce("c", "id")) if found is not None else one.withColumn("c", F.col("id"))
+        rows = X.cut(rows)
+        several = X.cut(rows.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo < hi"))
+        return X.cut(attach(rows.drop("n"), several, "key", "n").where("lo is not null").drop("lo", "hi"))
+
+    def joined(more: DataFrame):
+        new = X.cut(more)
+        if new.isEmpty():
+            return links, found
+        both = X.cut(links.unionByName(new))
+        return both, components(both)
+
+    found = None if links.isEmpty() else components(links)
+    rest = parted()
+    small, large = rest.where(f"n <= {PAIRS}"), rest.where(f"n > {PAIRS}")
+    for turn in range(HUBS):
+        if large.isEmpty():
+            break
+        hubs = X.cut(large.groupBy("key").agg(F.min_by(F.struct("id", "c", "s"), F.xxhash64("id", F.lit(turn))).alias("y"), F.count(F.lit(1)).alias("m")))
+        pairs = attach(large.select("key", F.struct("id", "c", "s").alias("x")), hubs, "key", "m").where(f"x.c <> y.c and {sizes}")
+        pairs = X.cut(pairs.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct().join(tested, ["a", "b"], "left_anti"))
+        tested = X.cut(tested.unionByName(pairs))
+        links, found = joined(confirmed(pairs, texts, width, percent))
+        rest = parted()
+        small, large = rest.where(f"n <= {PAIRS}"), rest.where(f"n > {PAIRS}")
+    x, y = small.alias("x"), small.alias("y")
+    pairs = x.join(y, F.expr(f"x.key = y.key and x.c < y.c and {sizes}")).select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"))
+    pairs = X.cut(pairs.distinct().join(tested, ["a", "b"], "left_anti"))
+    late = confirmed(pairs, texts, width, percent)
+    if not large.isEmpty():
+        cells = large.withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+        cells = cells.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        cells = cells.select("id", "c", "block", "key", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y")).join(texts, "id")
+        late = late.unionByName(cells.groupBy("key", "x", "y").applyInArrow(_across(width, percent), "a long, b long"))
+    return joined(late)[1]
 
 
 def near_groups(docs: DataFrame, width: int = 2, percent: int = 80, bands: int = BANDS, rows: int = ROWS, with_links: bool = True) -> DataFrame:
@@ -202,56 +335,61 @@ def near_groups(docs: DataFrame, width: int = 2, percent: int = 80, bands: int =
     is confirmed or joins one component anyway: no bucket is capped. With 40 bands of 5 coordinates a pair exactly at the threshold is missed with probability 1.2e-7. A null
     doc_id counts as the smallest. Rows that repeat a doc_id or a text are rows of one class. Other columns are ignored.
     """
+    slim, of = _grouped(docs, width, percent, bands, rows, with_links)
+    more = ["links"] if with_links else []
+    out = attach(slim.select(X.DOC, "n_shingles", "id"), of.select("id", "members", "class_id", "component_id", *more), "id", "members")
+    back = lambda c: F.when(F.col(c) != LOWEST, F.col(c))
+    return out.select(
+        back(X.DOC).alias(X.DOC), "n_shingles",
+        F.when(F.col("members").isNull(), back(X.DOC)).otherwise(back("component_id")).alias("component_id"),
+        F.when(F.col("members").isNull(), back(X.DOC)).otherwise(back("class_id")).alias("class_id"),
+        *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in more],
+    )
+
+
+def _grouped(docs: DataFrame, width: int, percent: int, bands: int, rows: int, with_links: bool) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, th, n_shingles and class id of every row; of every class its id, members, class_id, the component's least row (doc_id and th),
+    and links). th: a hash of the text."""
     base = X.corpus(docs).select(F.coalesce(X.DOC, F.lit(LOWEST)).alias(X.DOC), F.xxhash64(F.coalesce(X.TEXT, F.lit(""))).alias("th"), X.TEXT)
     slim = X.cut(base.mapInArrow(_sketch(width, bands, rows), "doc_id long, th long, n_shingles long, d1 long, d2 long, bands array<long>"))
     some = slim.where("n_shingles > 0").withColumn("id", F.xxhash64("d1", "d2", "n_shingles"))
     # classes of equal sets; equal sets have equal bands, so any will do
     classes = some.groupBy("id", "n_shingles").agg(F.min(F.struct(X.DOC, "th")).alias("least"), F.count(F.lit(1)).alias("members"), F.first("bands").alias("bands"))
     classes = X.cut(classes.select("id", "n_shingles", "least.*", "members", "bands"))
-    entry = classes.select("id", "n_shingles", F.explode("bands").alias("key"))
+    entry = classes.select("id", F.col("n_shingles").alias("s"), F.explode("bands").alias("key"))
     counted = X.cut(entry.groupBy("key").agg(F.min("id").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1"))
     inner = X.cut(attach(entry, counted, "key", "n").where("hub is not null"))
-    first = X.cut(inner.where("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct())
-    # one text for each class that has a candidate
-    chosen = classes.join(inner.select("id").distinct(), "id").select("id", X.DOC, "th")
-    texts = X.cut(base.join(chosen, [X.DOC, "th"]).groupBy("id").agg(F.first(F.coalesce(X.TEXT, F.lit(""))).alias(X.TEXT)))
-    links = X.cut(confirmed(first, texts, width, percent))
-    found = components(links)
-    # second round: members of one bucket that are still in different components, unless their sizes rule a link out
-    labelled = inner.select("id", "n_shingles", "key").join(found, "id", "left").select("key", "id", F.coalesce("c", "id").alias("c"), F.col("n_shingles").alias("s"))
-    split = X.cut(labelled.join(labelled.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("key"), "key"))
-    x, y = split.alias("x"), split.alias("y")
-    alike = F.expr(f"x.key = y.key and x.c < y.c and 100 * least(x.s, y.s) >= {percent} * greatest(x.s, y.s)")
-    more = x.join(y, alike).select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
-    late = X.cut(confirmed(more, texts, width, percent))
-    found = found if late.isEmpty() else components(X.cut(links.unionByName(late)))
-    of = classes.select("id", "n_shingles", F.col(X.DOC).alias("class_id"), "members").join(found, "id", "left").withColumn("c", F.coalesce("c", "id"))
+    # one text for each class that has a candidate; the others stay where they are
+    chosen = X.cut(classes.join(inner.select("id").distinct(), "id").select("id", X.DOC, "th", F.xxhash64(X.DOC, "th").alias("h")))
+    texts = base.where(X.sieve(chosen, "h")(F.xxhash64(X.DOC, "th"))).join(chosen.drop("h"), [X.DOC, "th"])
+    texts = X.cut(texts.groupBy("id").agg(F.first(F.coalesce(X.TEXT, F.lit(""))).alias(X.TEXT)))
+    found = merged(inner, texts, width, percent)
+    of = classes.select("id", "n_shingles", F.col(X.DOC).alias("class_id"), "th", "members")
+    of = of.join(found, "id", "left").withColumn("c", F.coalesce("c", "id")) if found is not None else of.withColumn("c", F.col("id"))
     of = X.cut(of)
     more = []
     if with_links:
         degree = X.cut(count_links(of.select("id", "c", "n_shingles"), texts, width, percent))
         of = X.cut(of.join(degree, "id", "left").withColumn("links", F.coalesce("links", F.lit(0)).cast("long")))
         more = ["links"]
-    whole = of.groupBy("c").agg(F.min("class_id").alias("component_id"), F.count(F.lit(1)).alias("parts"))
-    of = X.cut(attach(of, whole, "c", "parts").select("id", "members", "class_id", "component_id", *more))
-    out = attach(slim.select(X.DOC, "n_shingles", F.when(F.col("n_shingles") > 0, F.xxhash64("d1", "d2", "n_shingles")).alias("id")), of, "id", "members")
-    back = lambda c: F.when(F.col(c) != LOWEST, F.col(c))
-    return out.select(
-        back(X.DOC).alias(X.DOC), "n_shingles",
-        F.when(F.col("members").isNull(), back(X.DOC)).otherwise(back("component_id")).alias("component_id"),
-        F.when(F.col("members").isNull(), back(X.DOC)).otherwise(back("class_id")).alias("class_id"),
-        *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in more],
-    )
-
-
-def near_dedup(docs: DataFrame, **how) -> DataFrame:
-    """The rows of docs, all columns, of which one stays in each component: that with the smallest doc_id. Rows without words stay;
-    of rows that repeat the component's doc_id one stays."""
-    groups = near_groups(docs, with_links=False, **how)
-    gone = groups.where(~F.col(X.DOC).eqNullSafe(F.col("component_id"))).select(F.col(X.DOC).alias("_gone")).distinct()
-    out = docs.join(gone, F.col(X.DOC).cast("long").eqNullSafe(F.col("_gone")), "left_anti")
-    again = X.cut(groups.where("n_shingles > 0").where(F.col(X.DOC).eqNullSafe(F.col("component_id"))).groupBy(F.col(X.DOC).alias("_again")).count().where("count > 1").select("_again"))
+    whole = of.groupBy("c").agg(F.min(F.struct(F.col("class_id").alias("component_id"), F.col("th").alias("component_th"))).alias("first"), F.count(F.lit(1)).alias("parts"))
+    of = X.cut(attach(of, whole.select("c", "parts", "first.*"), "c", "parts").select("id", "members", "class_id", "component_id", "component_th", *more))
+    return slim.select(X.DOC, "th", "n_shingles", F.when(F.col("n_shingles") > 0, F.xxhash64("d1", "d2", "n_shingles")).alias("id")), of
+
+
+def near_dedup(docs: DataFrame, width: int = 2, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """The rows of docs, all columns, of which one stays in each component: that with the smallest doc_id, and of several such the one with the least hash
+    of its text. Rows without words stay. Rows that repeat a doc_id are told apart by their texts; of rows that repeat both, one stays."""
+    slim, of = _grouped(docs, width, percent, bands, rows, False)
+    marks = attach(slim, of, "id", "members").where("members is not null")
+    first = (F.col(X.DOC) == F.col("component_id")) & (F.col("th") == F.col("component_th"))
+    marks = X.cut(marks.select(F.col(X.DOC).alias("_d"), F.col("th").alias("_t"), first.alias("_first")))
+    key = F.coalesce(F.col(X.DOC).cast("long"), F.lit(LOWEST))
+    text = F.xxhash64(F.coalesce(F.col(X.TEXT).cast("string"), F.lit("")))
+    match = (F.col("_d") == key) & (F.col("_t") == text)
+    gone = marks.where("not _first").select("_d", "_t").distinct().withColumn("_h", F.xxhash64("_d", "_t"))
+    out = X.left_out(docs, X.cut(gone), F.xxhash64(key, text), match, "_h")
+    again = X.cut(marks.where("_first").groupBy("_d", "_t").count().where("count > 1").select("_d", "_t"))
     if again.isEmpty():
         return out
-    match = F.col(X.DOC).cast("long").eqNullSafe(F.col("_again"))
-    return out.join(again, match, "left_anti").unionByName(out.join(again, match, "left_semi").dropDuplicates([X.DOC]))
+    return out.join(again, match, "left_anti").unionByName(out.join(again, match, "left_semi").dropDuplicates([X.DOC, X.TEXT]))

@@ -30,9 +30,11 @@ ORACLE = {
     link AS (SELECT a, b FROM shared JOIN size p ON p.doc_id = a JOIN size q ON q.doc_id = b WHERE 100 * k >= 80 * (p.n + q.n - k)),
     both_ways AS (SELECT a, b FROM link UNION ALL SELECT b, a FROM link),
     reach(id, r) AS (SELECT class_id, class_id FROM same UNION SELECT reach.id, both_ways.b FROM reach JOIN both_ways ON both_ways.a = reach.r),
-    comp AS (SELECT id, min(r) AS c FROM reach GROUP BY id)
-    SELECT z.doc_id, z.n::BIGINT AS n_shingles, coalesce(c, z.doc_id) AS component_id, coalesce(c, z.doc_id) = z.doc_id AS kept, coalesce(class_id, z.doc_id) AS class_id
-    FROM size z LEFT JOIN class USING (doc_id) LEFT JOIN comp ON comp.id = class_id""",
+    comp AS (SELECT id, min(r) AS c FROM reach GROUP BY id),
+    degree AS (SELECT a AS id, count(*) AS links FROM both_ways GROUP BY a)
+    SELECT z.doc_id, z.n::BIGINT AS n_shingles, coalesce(c, z.doc_id) AS component_id, coalesce(c, z.doc_id) = z.doc_id AS kept, coalesce(class_id, z.doc_id) AS class_id,
+        coalesce(links, 0)::BIGINT AS links
+    FROM size z LEFT JOIN class USING (doc_id) LEFT JOIN comp ON comp.id = class_id LEFT JOIN degree ON degree.id = class_id""",
     "op4_line_dedup": f"""
     WITH {_LINES}
     SELECT doc_id, count(*)::BIGINT AS n_lines, (count(*) FILTER (WHERE dropped))::BIGINT AS n_dropped,

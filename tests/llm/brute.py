@@ -80,7 +80,8 @@ def shingles(t, width=2):
     return {tuple(w[i : i + width]) for i in range(len(w) - width + 1)} if len(w) >= width else ({tuple(w)} if w else set())
 
 
-def near(rows, width=2, percent=80):
+def near_roots(rows, width=2, percent=80):
+    """(sets, of each row a row of its component)."""
     sets = [shingles(t, width) for _, t in rows]
     root = list(range(len(rows)))
 
@@ -98,12 +99,17 @@ def near(rows, width=2, percent=80):
             both = len(sets[i] & sets[j])
             if 100 * both >= percent * (len(sets[i]) + len(sets[j]) - both):
                 root[find(i)] = find(j)
+    return sets, [find(i) for i in range(len(rows))]
+
+
+def near(rows, width=2, percent=80):
+    sets, root = near_roots(rows, width, percent)
     low = lambda d: -math.inf if d is None else d
     best = {}
     for i, (d, _) in enumerate(rows):
-        r = find(i)
+        r = root[i]
         best[r] = d if r not in best or low(d) < low(best[r]) else best[r]
-    return [(d, len(sets[i]), best[find(i)], d == best[find(i)]) for i, (d, _) in enumerate(rows)]
+    return [(d, len(sets[i]), best[root[i]], d == best[root[i]]) for i, (d, _) in enumerate(rows)]
 
 
 def held(d, folds):

@@ -266,10 +266,49 @@ def test_near(docs, rows, empty, monkeypatch, hot):
     assert max(Counter(x[2] for x in exp).values()) > 8
     left = near_dedup.near_dedup(docs)
     assert left.columns == docs.columns
-    assert Counter(r["doc_id"] for r in left.where("trim(translate(text, '\\n\\t', '  ')) <> ''").collect()) == Counter({x[0] for x in exp if x[3] and x[1]})
+    stays = left.select("doc_id", F.coalesce("text", F.lit(""))).collect()
+    sets, root = brute.near_roots(rows)
+    assert sum(not brute.shingles(t) for _, t in stays) == sum(not s for s in sets)
+    home = {(d, t or ""): r for (d, t), s, r in zip(rows, sets, root) if s}
+    least = {r: x[2] for r, x in zip(root, exp)}
+    # one row of each component, of its smallest doc_id
+    assert Counter(home[tuple(x)] for x in stays if tuple(x) in home) == Counter(set(home.values()))
+    assert all(least[home[tuple(x)]] == x[0] for x in stays if tuple(x) in home)
     assert near_dedup.near_groups(empty).count() == 0 and near_dedup.near_dedup(empty).count() == 0
 
 
+def test_near_tells_rows_of_one_doc_id_apart(spark):
+    a, b = "one two three four five six seven eight nine ten eleven twelve", "what has nothing to do with any other of these texts"
+    left = near_dedup.near_dedup(spark.createDataFrame([(1, a), (1, b), (1, b), (0, a.upper()), (2, a + " thirteen")], "doc_id long, text string"))
+    assert values(left, "doc_id", "text") == plain([(0, a.upper()), (1, b)])
+
+
+@pytest.mark.parametrize("pairs,hubs,block", [(16, 2, 64), (4, 1, 7), (2, 0, 5)])
+def test_near_in_groups_just_below_the_threshold(spark, monkeypatch, pairs, hubs, block):
+    """Many different texts in the same buckets, of which few are linked: all links count, and pairs aren't all listed."""
+    import random
+
+    for name, value in (("PAIRS", pairs), ("HUBS", hubs), ("BLOCK", block)):
+        monkeypatch.setattr(near_dedup, name, value)
+    listed = []
+    real = near_dedup.confirmed
+    monkeypatch.setattr(near_dedup, "confirmed", lambda p, *more: (listed.append(p.count()), real(p, *more))[1])
+    rnd = random.Random(8)
+    first, every = [f"w{i}" for i in range(400)], []
+    for i in range(90):
+        words = list(first)
+        for at in rnd.sample(range(400), rnd.randint(9, 20)):
+            words[at] = f"x{rnd.randrange(9)}"
+        every.append((i, " ".join(words)))
+    exp = brute.near(every)
+    groups = {x[2] for x in exp}
+    assert 10 < len(groups) < 89
+    got = near_dedup.near_groups(spark.createDataFrame(every, "doc_id long, text string"), with_links=False)
+    assert values(got, "doc_id", "n_shingles", "component_id", F.col("doc_id") == F.col("component_id")) == plain(exp)
+    if pairs < 16:
+        assert sum(listed) < 90 * 89 / 4
+
+
 @pytest.mark.parametrize("block", [64, 7])
 def test_near_links(spark, rows, monkeypatch, block):
     """Every link between different sets, in a group whose members meet in few bands and in one that is split into blocks."""
@@ -321,7 +360,9 @@ def test_sketch_is_unbiased():
 def test_components(spark):
     links = [(i, i + 1) for i in range(30)] + [(100, 50), (50, 70)]
     got = near_dedup.components(spark.createDataFrame(links, "a long, b long"))
-    assert values(got, "id", "c") == plain([(i, 0) for i in range(31)] + [(50, 50), (70, 50), (100, 50)])
+    exp = plain([(i, 0) for i in range(31)] + [(50, 50), (70, 50), (100, 50)])
+    assert values(got, "id", "c") == exp
+    assert values(near_dedup.components(spark.createDataFrame(links, "a long, b long"), hot=1), "id", "c") == exp
 
 
 # ---- 7: quality -----------------------------------------------------------------------------------------------------
