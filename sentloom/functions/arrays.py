@@ -1,7 +1,9 @@
-"""Vector arithmetic on array columns, accumulated in double, in the JVM."""
+"""Vector arithmetic on array columns, accumulated in double: in the JVM, or in Arrow where a row's elements share what is dear to compute."""
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -35,15 +37,39 @@ def literal(values) -> Column:
     return F.lit([float(x) for x in values])
 
 
+def rowwise(how):
+    """A function of a matrix (rows x numbers, double) to one of the same size, as a function of array columns: a batch is one step, in Arrow.
+    A lambda over arrays would evaluate what all elements of a row share once for each of them. Null rows stay null."""
+
+    @F.arrow_udf("array<double>")
+    def run(v: pa.Array) -> pa.Array:
+        have = v.drop_null()
+        if not len(have):
+            return v.cast(pa.list_(pa.float64()))
+        x = how(have.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(have), -1))
+        width = x.shape[1]
+        if v.null_count == 0:
+            offsets = pa.array(np.arange(len(v) + 1) * width, pa.int32())
+        else:
+            ends = np.concatenate([[0], np.cumsum(v.is_valid().to_numpy(zero_copy_only=False) * width)])
+            offsets = pa.array(ends, pa.int32(), mask=np.append(v.is_null().to_numpy(zero_copy_only=False), False))
+        return pa.ListArray.from_arrays(offsets, pa.array(x.ravel()))
+
+    return run
+
+
 def removed(v: Column, components, weights=None) -> Column:
-    """v without its projections on the components (rows, one by one given as numbers). A weight enters squared."""
-    out = doubles(v)
-    for k, c in enumerate(components):
-        w = 1.0 if weights is None else float(weights[k]) ** 2
-        c = literal(c)
-        out = _less(out, c, dot(v, c) * w)
-    return out
+    """v without its projections on the components (rows). A weight enters squared."""
+    c = np.asarray(components, float)
+    w = np.ones(len(c)) if weights is None else np.asarray(weights, float) ** 2
+    return rowwise(lambda x: x - (x @ c.T * w) @ c)(v)
+
+
+def _unit_rows(x):
+    n = np.sqrt((x * x).sum(axis=1))
+    return x / np.where(n > 0, n, np.nan)[:, None]
 
 
-def _less(v: Column, c: Column, share: Column) -> Column:
-    return F.zip_with(v, c, lambda x, y: x - share * y)
+def unit_rows(v: Column) -> Column:
+    """Like unit(), a batch at a time."""
+    return rowwise(_unit_rows)(v)

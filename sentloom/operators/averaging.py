@@ -16,7 +16,7 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
-from ..functions.subword import MAX_NGRAMS, buckets
+from ..functions.subword import MAX_NGRAMS, buckets, hashed_ngrams
 from ..sources.vectors import BROADCAST_BYTES, WordVectors
 
 STEP = 1 << 15  # tokens whose vectors are gathered at once
@@ -32,40 +32,78 @@ def spread(df: DataFrame) -> DataFrame:
 
 
 class _Table:
-    """Words and their weighted vectors in one process."""
+    """Words and their weighted vectors in one process; with sub-words also the n-grams' vectors."""
 
     def __init__(self, words: pa.Array, vectors: np.ndarray, weights: np.ndarray):
         self.words, self.vectors = words, vectors * weights[:, None]
+        self.top = float(weights.max(initial=0.0))
+        self.grams: np.ndarray | None = None
 
     @staticmethod
-    def of(wv: WordVectors) -> _Table:
+    def of(wv: WordVectors, most_ngrams: int = MAX_NGRAMS) -> _Table:
         got = wv.vocab.select("word", "vector", F.col("weight").cast("double")).toArrow()
-        flat = got.column("vector").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-        return _Table(got.column("word").combine_chunks().cast(pa.string()), flat.reshape(-1, wv.size), got.column("weight").to_numpy())
-
-    def sums(self, words: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
-        """Of each list of words the sum of the weighted vectors of those that are known, and how many are."""
+        out = _Table(got.column("word").combine_chunks().cast(pa.string()), _matrix(got.column("vector"), wv.size), got.column("weight").to_numpy())
+        if wv.subword:
+            got = wv.ngrams.select(F.col("bucket_id").cast("long"), "vector").toArrow()
+            ids = got.column(0).to_numpy()
+            out.grams, out.have = np.zeros((wv.bucket, wv.size)), np.zeros(wv.bucket, bool)
+            out.grams[ids], out.have[ids] = _matrix(got.column(1), wv.size), True
+            out.shape = (wv.bucket, wv.min_n, wv.max_n, most_ngrams)
+        return out
+
+    def made(self, words: list[str]) -> np.ndarray:
+        """Vectors of words outside the vocabulary: the largest weight times the mean of their n-grams' vectors; zero without n-grams."""
+        of, bucket = hashed_ngrams(words, *self.shape)
+        out = np.zeros((len(words), self.vectors.shape[1]))
+        size = np.bincount(of, minlength=len(words))
+        begin = np.cumsum(size) - size
+        for a in range(0, len(words), 1024):
+            b = min(a + 1024, len(words))
+            lo, hi = int(begin[a]), int(begin[b - 1] + size[b - 1])
+            some = np.flatnonzero(size[a:b])
+            if hi > lo:
+                out[a + some] = np.add.reduceat(self.grams[bucket[lo:hi]], begin[a + some] - lo)
+        return out * (self.top / np.maximum(size, 1))[:, None]
+
+    def sums(self, words: pa.ListArray, most: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Of each list of words the sum of the weighted vectors of those that are known, and how many are; with sub-words all are. most: of so
+        many of the first ones alone."""
         cuts = words.offsets.to_numpy()
-        flat = pc.index_in(words.flatten(), value_set=self.words)
-        known = flat.is_valid().to_numpy(zero_copy_only=False)
-        before = np.concatenate([[0], np.cumsum(known)])
-        cuts = before[cuts - cuts[0]]
-        place = flat.drop_null().to_numpy()
-        out = np.zeros((len(cuts) - 1, self.vectors.shape[1]))
+        every, vectors = words.flatten(), self.vectors
+        flat = pc.index_in(every, value_set=self.words)
+        if self.grams is not None and flat.null_count:
+            coded = every.filter(flat.is_null()).fill_null("").dictionary_encode()
+            place = flat.fill_null(0).to_numpy(zero_copy_only=False).copy()
+            place[flat.is_null().to_numpy(zero_copy_only=False)] = len(vectors) + coded.indices.to_numpy()
+            vectors = np.concatenate([vectors, self.made(coded.dictionary.to_pylist())])
+            cuts = cuts - cuts[0]
+        else:
+            known = flat.is_valid().to_numpy(zero_copy_only=False)
+            before = np.concatenate([[0], np.cumsum(known)])
+            cuts = before[cuts - cuts[0]]
+            place = flat.drop_null().to_numpy()
+        if most is not None:
+            place = place[np.arange(len(place)) - np.repeat(cuts[:-1], np.diff(cuts)) < most]
+            cuts = np.concatenate([[0], np.cumsum(np.minimum(np.diff(cuts), most))])
+        out = np.zeros((len(cuts) - 1, vectors.shape[1]))
         count = np.diff(cuts)
         a = 0
         while a < len(count):  # as many sentences as have STEP tokens; a long one in pieces
             b = max(a + 1, int(np.searchsorted(cuts, cuts[a] + STEP, "right")) - 1)
             if cuts[b] - cuts[a] > 2 * STEP:
                 for x in range(cuts[a], cuts[b], STEP):
-                    out[a] += self.vectors[place[x : min(x + STEP, cuts[b])]].sum(axis=0)
+                    out[a] += vectors[place[x : min(x + STEP, cuts[b])]].sum(axis=0)
             elif cuts[b] > cuts[a]:
                 full = np.flatnonzero(count[a:b]) + a
-                out[full] = np.add.reduceat(self.vectors[place[cuts[a] : cuts[b]]], cuts[full] - cuts[a])
+                out[full] = np.add.reduceat(vectors[place[cuts[a] : cuts[b]]], cuts[full] - cuts[a])
             a = b
         return out, count
 
 
+def _matrix(column: pa.ChunkedArray, size: int) -> np.ndarray:
+    return column.combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, size)
+
+
 def _lists(column: pa.Array) -> pa.ListArray:
     if column.null_count:
         column = pc.fill_null(column, pa.scalar([], column.type))
@@ -76,32 +114,40 @@ def _array(rows: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1) * rows.shape[1], pa.int32()), pa.array(rows.ravel()))
 
 
-def sentence_sums(corpus: DataFrame, wv: WordVectors, keep: list[str], most_words: int | None = None) -> DataFrame:
-    """The columns `keep`, `sums` (sum of the weighted vectors of known words) and `known` (how many), a row for each row.
+def sentence_sums(corpus: DataFrame, wv: WordVectors, keep: list[str], most_words: int | None = None, most_ngrams: int = MAX_NGRAMS) -> DataFrame:
+    """The columns `keep`, `sums` (sum of the weighted vectors of known words) and `known` (how many), a row for each row. With sub-words all words
+    are known.
 
     most_words: words after that many known ones of a sentence are left out.
     """
-    if wv.bytes <= BROADCAST_BYTES and most_words is None:
-        return _sums_here(corpus, wv, keep)
-    return _sums_joined(corpus, wv, keep, most_words)
+    if wv.bytes <= BROADCAST_BYTES:
+        return _sums_here(corpus, wv, keep, most_words, most_ngrams)
+    if corpus.isStreaming:
+        raise ValueError(f"a stream's words can't be joined to vectors of more than {BROADCAST_BYTES} bytes")
+    if wv.subword:
+        if most_words is not None:
+            corpus = corpus.withColumn("words", F.slice("words", 1, most_words))
+        out = sums_joined(corpus.withColumn("_n", F.size("words").cast("long")), with_unknown(corpus, wv, most_ngrams), [*keep, "_n"], None)
+        return out.withColumn("known", F.greatest("_n", F.lit(0))).drop("_n")
+    return sums_joined(corpus, wv, keep, most_words)
 
 
-def _sums_here(corpus: DataFrame, wv: WordVectors, keep: list[str]) -> DataFrame:
-    shared = corpus.sparkSession.sparkContext.broadcast(_Table.of(wv))
+def _sums_here(corpus: DataFrame, wv: WordVectors, keep: list[str], most_words: int | None, most_ngrams: int) -> DataFrame:
+    shared = corpus.sparkSession.sparkContext.broadcast(_Table.of(wv, most_ngrams))
     source = corpus.select(*keep, "words")
     out = source.select(*keep, F.lit(None).cast("array<double>").alias("sums"), F.lit(None).cast("long").alias("known")).schema
 
     def run(batches):
         table = shared.value
         for batch in batches:
-            sums, known = table.sums(_lists(batch.column(len(keep))))
+            sums, known = table.sums(_lists(batch.column(len(keep))), most_words)
             columns = [batch.column(i) for i in range(len(keep))]
             yield pa.RecordBatch.from_arrays([*columns, _array(sums), pa.array(known, pa.int64())], names=[*keep, "sums", "known"])
 
     return spread(source).mapInArrow(run, out)
 
 
-def _sums_joined(corpus: DataFrame, wv: WordVectors, keep: list[str], most_words: int | None) -> DataFrame:
+def sums_joined(corpus: DataFrame, wv: WordVectors, keep: list[str], most_words: int | None) -> DataFrame:
     # a sentence's key follows from what it says, so a recomputed task gives the same; sentences that repeat are joined once and met twice
     rows = corpus.select(*keep, "words").withColumn("_s", F.struct(F.xxhash64(*keep, "words").alias("a"), F.xxhash64(F.lit(1), *keep, "words").alias("b")))
     vocab = wv.vocab.select("word", "vector", F.col("weight").cast("double").alias("weight"))
@@ -137,7 +183,7 @@ def with_unknown(corpus: DataFrame, wv: WordVectors, most_ngrams: int = MAX_NGRA
     made = grams.join(table, "bucket_id").groupBy("word").agg(_sum_of("vector").alias("vector"), F.first("g").alias("g"))
     made = made.select("word", F.transform("vector", lambda x: x / F.col("g")).alias("vector"), F.lit(top).alias("weight"))
     vocab = wv.vocab.select("word", F.col("vector").cast("array<double>").alias("vector"), F.col("weight").cast("double").alias("weight"), "index")
-    return WordVectors(vocab.unionByName(made, allowMissingColumns=True), wv.size, wv.words + lost.count())
+    return WordVectors(vocab.unionByName(made, allowMissingColumns=True), wv.size, wv.words + wv.bucket)  # of more bytes than are broadcast, as before
 
 
 def _sum_of(column: str) -> Column:
@@ -151,17 +197,13 @@ def mean(sums: Column | str = "sums", count: Column | str = "known") -> Column:
     return F.transform(s, lambda x: F.when(n > 0, F.try_divide(x, n)).otherwise(F.lit(0.0)))
 
 
-def averages(corpus: DataFrame, wv: WordVectors, initial: float = 0.0, dense: bool = False, most_words: int | None = None) -> DataFrame:
+def averages(corpus: DataFrame, wv: WordVectors, initial: float = 0.0, dense: bool = False, most_words: int | None = None, most_ngrams: int = MAX_NGRAMS) -> DataFrame:
     """(idx, vector, known): the sum over an index's sentences of their averages, plus `initial` in every place.
 
     Without sub-words, words that have no vector count neither above nor below; with them, every word counts. An empty sentence, or one without
     known words, adds nothing. dense: indices from 0 to the largest all have a row.
     """
-    if wv.subword:
-        each = sentence_sums(corpus.select("idx", "words", F.size("words").alias("n")), with_unknown(corpus, wv), ["idx", "n"])
-        each = each.select("idx", mean("sums", "n").alias("vector"), F.col("n").alias("known"))
-    else:
-        each = sentence_sums(corpus, wv, ["idx"], most_words).select("idx", mean().alias("vector"), "known")
+    each = sentence_sums(corpus, wv, ["idx"], most_words, most_ngrams).select("idx", mean().alias("vector"), "known")
     out = each.groupBy("idx").agg(_sum_of("vector").alias("vector"), F.sum("known").cast("long").alias("known"))
     if initial:
         out = out.select("idx", F.transform("vector", lambda x: x + F.lit(float(initial))).alias("vector"), "known")

@@ -11,23 +11,28 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.arrays import EPS
+from ..functions.subword import MAX_NGRAMS
 from ..sources.vectors import WordVectors, read_vectors, write_vectors
 from . import validation
 from .averaging import averages
 from .linalg import Components, normalised, principal_components, remove_components
 from .similarity import SentenceVectors
-from .vocabulary import induced_counts, sif_weights, uniform_weights, usif_weights
+from .vocabulary import induced_counts, language_frequencies, sif_weights, uniform_weights, usif_weights
 
 
 @dataclass(frozen=True)
 class Embedding(ABC):
-    """What the estimators share. frequencies: a table (word, freq) that replaces the counts; initial: what trained rows start from;
-    max_words: words of a sentence that count, none for all."""
+    """What the estimators share. frequencies: a table (word, freq) that replaces the counts, or (lang, word, freq), of which lang_freq names the
+    language; initial: what trained rows start from; max_words: words of a sentence that count, none for all; max_ngrams: n-grams of a
+    word outside the vocabulary that count; cache_size_gb: sentence vectors beyond so many GB in single precision are sampled for the components, none: never."""
 
     wv: WordVectors
     frequencies: DataFrame | None = None
     initial: float = EPS
     max_words: int | None = None
+    lang_freq: str | None = None
+    max_ngrams: int = MAX_NGRAMS
+    cache_size_gb: float | None = None
 
     @abstractmethod
     def weighted(self, vocab: DataFrame, scan: validation.Scan) -> DataFrame:
@@ -37,11 +42,22 @@ class Embedding(ABC):
     def check(self, vocab: DataFrame) -> None:
         """Raises where parameters or weights make no sense."""
 
-    def components_of(self, vectors: DataFrame) -> Components | None:
+    def components_of(self, vectors: DataFrame, rows: int) -> Components | None:
         return None
 
+    def sample(self, rows: int) -> float | None:
+        """The share of so many sentence vectors that the components are made from."""
+        if self.cache_size_gb is None:
+            return None
+        return min(1.0, self.cache_size_gb * 2**30 / max(1, rows * self.wv.size * 4))
+
     def prepared(self, scan: validation.Scan) -> WordVectors:
-        vocab = self.wv.vocab if self.frequencies is None else induced_counts(self.wv.vocab, self.frequencies)
+        freq = self.frequencies
+        if self.lang_freq is not None:
+            if freq is None:
+                raise ValueError("lang_freq needs a table of frequencies (lang, word, freq)")
+            freq = language_frequencies(freq, self.lang_freq)
+        vocab = self.wv.vocab if freq is None else induced_counts(self.wv.vocab, freq)
         vocab = self.weighted(vocab, scan)
         self.check(vocab)
         return self.wv.with_vocab(vocab)
@@ -50,13 +66,14 @@ class Embedding(ABC):
         """Statistics, weights, averages, components. Rows of an index that no sentence has are `initial` throughout."""
         scan = validation.scan(corpus)
         wv = self.prepared(scan)
-        raw = averages(corpus, wv, self.initial, dense=True, most_words=self.max_words).persist()
+        validation.warn_memory(validation.estimate_memory(scan.max_index, wv.words, wv.size, wv.bucket if wv.subword else None)["Total"], corpus.sparkSession)
+        raw = averages(corpus, wv, self.initial, dense=True, most_words=self.max_words, most_ngrams=self.max_ngrams).persist()
         sentences = scan.total_sentences - scan.empty_sentences
         words = scan.total_words if wv.subword else int(raw.agg(F.sum("known")).first()[0] or 0)
         validation.check_result(sentences, words)
         raw = raw.select("idx", "vector")
-        parts = self.components_of(raw)
-        return EmbeddingModel(type(self).__name__, wv, parts, remove_components(raw, parts) if parts else raw, scan, (sentences, words))
+        parts = self.components_of(raw, scan.max_index)
+        return EmbeddingModel(type(self).__name__, wv, parts, remove_components(raw, parts) if parts else raw, scan, (sentences, words), self.max_words, self.max_ngrams)
 
 
 @dataclass(frozen=True)
@@ -85,8 +102,8 @@ class SIFEmbedding(Embedding):
             raise ValueError("components must be 0 or more")
         validation.check_weights(vocab, 0, 1)
 
-    def components_of(self, vectors):
-        return principal_components(vectors, self.components) if self.components else None
+    def components_of(self, vectors, rows):
+        return principal_components(vectors, self.components, sample=self.sample(rows)) if self.components else None
 
 
 @dataclass(frozen=True)
@@ -104,10 +121,10 @@ class USIFEmbedding(Embedding):
             raise ValueError("components must be 0 or more")
         validation.check_weights(vocab, 0, None)
 
-    def components_of(self, vectors):
+    def components_of(self, vectors, rows):
         if not self.components:
             return None
-        parts = principal_components(vectors, self.components)
+        parts = principal_components(vectors, self.components, sample=self.sample(rows))
         share = parts.sigma**2 / max((parts.sigma**2).sum(), np.finfo(float).tiny)
         return replace(parts, weights=share)
 
@@ -120,6 +137,8 @@ class EmbeddingModel:
     vectors: DataFrame
     scan: validation.Scan
     summary: tuple[int, int]
+    max_words: int | None = None
+    max_ngrams: int = MAX_NGRAMS
 
     @property
     def sv(self) -> SentenceVectors:
@@ -131,9 +150,9 @@ class EmbeddingModel:
         if corpus.isStreaming:
             from .averaging import mean, sentence_sums
 
-            out = sentence_sums(corpus, self.wv, ["idx"]).select("idx", mean().alias("vector"))
+            out = sentence_sums(corpus, self.wv, ["idx"], self.max_words, self.max_ngrams).select("idx", mean().alias("vector"))
         else:
-            out = averages(corpus, self.wv).select("idx", "vector")
+            out = averages(corpus, self.wv, most_words=self.max_words, most_ngrams=self.max_ngrams).select("idx", "vector")
         if self.components:
             out = remove_components(out, self.components)
         return normalised(out) if use_norm else out
@@ -154,7 +173,7 @@ class EmbeddingModel:
         write_vectors(self.wv, f"{path}/wv", again=True)
         self.vectors.write.mode("overwrite").parquet(f"{path}/sv")
         c = self.components
-        about = {"kind": self.kind, "scan": asdict(self.scan), "summary": self.summary, "components": None if c is None else {"sigma": c.sigma.tolist(), "rows": c.rows.tolist(), "weights": None if c.weights is None else c.weights.tolist()}}
+        about = {"kind": self.kind, "scan": asdict(self.scan), "summary": self.summary, "max_words": self.max_words, "max_ngrams": self.max_ngrams, "components": None if c is None else {"sigma": c.sigma.tolist(), "rows": c.rows.tolist(), "weights": None if c.weights is None else c.weights.tolist()}}
         self.vectors.sparkSession.createDataFrame([(json.dumps(about),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/metadata")
 
     @staticmethod
@@ -162,4 +181,4 @@ class EmbeddingModel:
         about = json.loads(spark.read.text(f"{path}/metadata").first()[0])
         c = about["components"]
         parts = None if c is None else Components(np.array(c["sigma"]), np.array(c["rows"]), None if c["weights"] is None else np.array(c["weights"]))
-        return EmbeddingModel(about["kind"], read_vectors(spark, f"{path}/wv"), parts, spark.read.parquet(f"{path}/sv"), validation.Scan(**about["scan"]), tuple(about["summary"]))
+        return EmbeddingModel(about["kind"], read_vectors(spark, f"{path}/wv"), parts, spark.read.parquet(f"{path}/sv"), validation.Scan(**about["scan"]), tuple(about["summary"]), about["max_words"], about["max_ngrams"])

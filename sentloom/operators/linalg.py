@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.arrays import removed, unit
+from ..functions.arrays import removed, unit_rows
 
 
 @dataclass(frozen=True)
@@ -67,4 +67,4 @@ def remove_components(vectors: DataFrame, components: Components, column: str =
 
 def normalised(vectors: DataFrame, column: str = "vector") -> DataFrame:
     """Rows of length one; a zero row becomes NaN."""
-    return vectors.withColumn(column, unit(F.col(column)))
+    return vectors.withColumn(column, unit_rows(F.col(column)))

@@ -11,8 +11,10 @@ from pyspark.sql import functions as F
 
 from ..functions.arrays import cosine, dot, literal, norm, unit
 from .linalg import normalised
+from .ordering import numbered
 
-QUERY_BLOCK = 1024  # queries that are set against all rows at a time
+QUERY_BLOCK = 1024  # queries that are set against a batch of rows in one product
+QUERY_BYTES = 32 << 20  # of queries that go to every task at once
 
 
 def score(vector: Column, unit_query: Column) -> Column:
@@ -145,18 +147,19 @@ def nearest(vectors: DataFrame, unit_query: Column, given=(), topn: int | None =
 
 
 def batch_top_k(queries: DataFrame, vectors: DataFrame, k: int = 10) -> DataFrame:
-    """(qid, idx, similarity, rank): of each query (qid, vector) the k nearest rows. Queries come as matrices of a block at a time to
-    every task, which keeps k rows for each; the rest is a window over these."""
+    """(qid, idx, similarity, rank): of each row of queries (qid, vector) the k nearest rows, ties by idx. Rows that repeat a qid, or have none, are each a
+    query of their own. Queries go to every task as matrices of at most QUERY_BYTES; one scan of vectors serves all of a matrix, and a task keeps k rows
+    of a batch for each; the rest is a window over these."""
     import pyarrow as pa
 
-    order = queries.select("qid", F.col("vector").cast("array<double>").alias("vector"))
-    last, out = None, None
-    while True:
-        block = (order if last is None else order.where(F.col("qid") > last)).orderBy("qid").limit(QUERY_BLOCK).toArrow()
-        if not block.num_rows:
-            break
-        ids = block.column("qid").to_numpy()
-        q = np.array(block.column("vector").to_pylist(), float)
+    order = numbered(queries.select("qid", F.col("vector").cast("array<double>").alias("vector")), "_q", F.col("qid"), F.col("vector"))
+    size, n = order.agg(F.max(F.size("vector")), F.count(F.lit(1))).first()
+    block = max(QUERY_BLOCK, QUERY_BYTES // (8 * max(1, size or 1)))
+    out = None
+    for begin in range(0, n, block):
+        some = order.where((F.col("_q") >= begin) & (F.col("_q") < begin + block)).select("_q", "vector").toArrow()
+        ids = some.column(0).to_numpy()
+        q = some.column(1).combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1)
         with np.errstate(all="ignore"):
             q = q / np.linalg.norm(q, axis=1)[:, None]
         shared = vectors.sparkSession.sparkContext.broadcast((ids, q))
@@ -167,23 +170,35 @@ def batch_top_k(queries: DataFrame, vectors: DataFrame, k: int = 10) -> DataFram
                 x = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(batch.num_rows, -1)
                 idx = batch.column(0).to_numpy()
                 n = np.linalg.norm(x, axis=1)
-                with np.errstate(all="ignore"):
-                    sim = (q @ x.T) / n
-                sim[:, n == 0] = -np.inf
-                few = min(k, len(idx))
-                for a, row in zip(ids, sim):
-                    best = np.lexsort((idx, -row))[:few]
-                    best = best[np.isfinite(row[best])]
-                    if len(best):
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(best), a)), pa.array(idx[best]), pa.array(row[best])], names=["qid", "idx", "similarity"])
-
-        part = vectors.select(F.col("idx").cast("long").alias("idx"), "vector").mapInArrow(run, "qid long, idx long, similarity double")
+                for a in range(0, len(ids), QUERY_BLOCK):
+                    with np.errstate(all="ignore"):
+                        sim = (q[a : a + QUERY_BLOCK] @ x.T) / n
+                    sim[~np.isfinite(sim)] = -np.inf
+                    row, col = _best(sim, idx, k)
+                    if len(row):
+                        yield pa.RecordBatch.from_arrays([pa.array(ids[a + row]), pa.array(idx[col]), pa.array(sim[row, col])], names=["_q", "idx", "similarity"])
+
+        part = vectors.select(F.col("idx").cast("long").alias("idx"), "vector").mapInArrow(run, "_q long, idx long, similarity double")
         out = part if out is None else out.unionByName(part)
-        last = int(ids[-1])
+    kind = dict(queries.dtypes)["qid"]
     if out is None:
-        return vectors.sparkSession.createDataFrame([], "qid long, idx long, similarity double, rank int")
-    rank = F.row_number().over(W.partitionBy("qid").orderBy(F.desc("similarity"), "idx"))
-    return out.withColumn("rank", rank).where(F.col("rank") <= k)
+        return vectors.sparkSession.createDataFrame([], f"qid {kind}, idx long, similarity double, rank int")
+    rank = F.row_number().over(W.partitionBy("_q").orderBy(F.desc("similarity"), "idx"))
+    best = out.withColumn("rank", rank).where(F.col("rank") <= k)
+    return best.join(order.select("_q", "qid"), "_q").select("qid", "idx", "similarity", "rank")
+
+
+def _best(sim: np.ndarray, idx: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, column) of each row's k largest finite values, ties by idx."""
+    if sim.shape[1] > k:
+        least = np.partition(sim, sim.shape[1] - k, axis=1)[:, sim.shape[1] - k]
+        ok = (sim >= least[:, None]) & np.isfinite(sim)
+        for r in np.flatnonzero(ok.sum(axis=1) > k):  # ties with the last one
+            at = np.flatnonzero(ok[r])
+            ok[r, at[np.lexsort((idx[at], -sim[r, at]))[k:]]] = False
+    else:
+        ok = np.isfinite(sim)
+    return np.nonzero(ok)
 
 
 def pair_scores(a: DataFrame, b: DataFrame, offset: int = 0) -> DataFrame:

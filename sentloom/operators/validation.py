@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import math
+import os
+import warnings
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -79,3 +81,19 @@ def estimate_memory(max_index: int, words: int, size: int, bucket: int | None =
         out |= {"Vocab Vectors": 4 * words * size, "Ngram Vectors": 4 * bucket * size}
     out["Total"] = sum(out.values())
     return out
+
+
+def available_memory(spark) -> int:
+    """Bytes that executors may use together: their number times spark.executor.memory, or this machine's memory where all runs on it."""
+    if spark.sparkContext.master.startswith("local"):
+        return os.sysconf("SC_PAGE_SIZE") * os.sysconf("SC_PHYS_PAGES")
+    conf = spark.sparkContext._jsc.sc().conf()
+    each = conf.getSizeAsBytes("spark.executor.memory", "1g")
+    return each * max(1, spark.sparkContext._jsc.sc().getExecutorMemoryStatus().size() - 1)
+
+
+def warn_memory(total: int, spark, share: float = 0.95) -> None:
+    """Warns where a model's estimate is above that share of the memory there is; Spark then spills."""
+    there = available_memory(spark)
+    if total > share * there:
+        warnings.warn(f"the model needs about {total / 2**30:.2f} GB; there are {there / 2**30:.2f} GB", stacklevel=3)

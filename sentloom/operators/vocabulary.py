@@ -28,6 +28,15 @@ def induced_counts(vocab: DataFrame, frequencies: DataFrame, domain: int = DOMAI
     return vocab.drop("count").join(frequencies.select("word", "freq"), "word", "left").withColumn("count", F.floor(freq * domain).cast("long")).drop("freq")
 
 
+def language_frequencies(table: DataFrame, language: str) -> DataFrame:
+    """(word, freq) of one language, from a table (lang, word, freq). A language that it lacks is an error."""
+    found = table.where(F.col("lang") == language).select("word", "freq")
+    if found.isEmpty():
+        known = [r["lang"] for r in table.select("lang").distinct().orderBy("lang").limit(100).collect()]
+        raise ValueError(f"no frequencies of {language!r}; there are {', '.join(map(str, known))}")
+    return found
+
+
 def _totals(vocab: DataFrame) -> tuple[int, int]:
     got = vocab.agg(F.sum("count").alias("s"), F.count(F.lit(1)).alias("n"), F.min("count").alias("lo")).first()
     if got["lo"] is not None and got["lo"] < 0:

@@ -13,10 +13,10 @@ from ..functions.arrays import EPS
 from ..functions.subword import char_ngrams, fnv
 from ..functions.text import benchmark_words, words
 from ..operators import linalg, similarity, validation, vocabulary
-from ..operators.averaging import averages, sentence_sums, spread
+from ..operators.averaging import averages, mean, sentence_sums, spread, sums_joined, with_unknown
 from ..operators.estimators import AverageEmbedding, SIFEmbedding, USIFEmbedding
 from ..operators.evaluation import pearson
-from ..sources.corpus import scratch
+from ..sources.corpus import line_at, lines, scratch, sentence_pairs
 from ..sources.vectors import WordVectors, word_vectors
 from . import oracle
 
@@ -91,6 +91,39 @@ def vocab_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vocabulary.build_vocabulary(corpus(spark, sf_dir), most=vectors(spark, sf_dir).count()).select("word", "count", F.col("index").cast("long").alias("index"))
 
 
+@query(oracle.LINES)
+def line_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S3: the benchmark's items as lines of text files, numbered in the order of file and place."""
+    return lines(spark, _as_lines(spark, table(spark, sf_dir, "benchmark").select("item_id", _one_line("text").alias("value"))))
+
+
+@query(oracle.LINES + " ORDER BY idx DESC LIMIT 1")
+def last_line(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One line by its number, which counts from the end."""
+    kept = lines(spark, _as_lines(spark, table(spark, sf_dir, "benchmark").select("item_id", _one_line("text").alias("value"))))
+    last = kept.agg(F.max("idx")).first()[0]
+    return spark.createDataFrame([(last, line_at(kept, -1))], "idx long, text string")
+
+
+@query(oracle.SENTENCE_PAIRS)
+def pairs_from_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of items, tab-separated as in a similarity benchmark's file."""
+    items = table(spark, sf_dir, "benchmark").select("item_id", _one_line("text").alias("t"))
+    both = items.alias("a").join(items.alias("b"), F.expr("b.item_id = a.item_id + 1"))
+    value = F.concat_ws("\t", F.lit("g"), F.lit("f"), F.lit("y"), F.lit("n"), (F.col("a.item_id") % 6 / 4).cast("string"), "a.t", "b.t")
+    return sentence_pairs(spark, _as_lines(spark, both.select(F.col("a.item_id").alias("item_id"), value.alias("value"))))
+
+
+def _one_line(text: str):
+    return F.translate(text, "\r\n\t", "   ")
+
+
+def _as_lines(spark: SparkSession, rows: DataFrame) -> str:
+    home = scratch(spark, "lines")
+    rows.orderBy("item_id").select("value").write.text(home)  # ranges in order, a file each
+    return home
+
+
 # ---- averages -------------------------------------------------------------------------------------------------------
 
 
@@ -118,12 +151,21 @@ def effective_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentence_sums(docs, wv, ["idx"]).select(F.col("idx").alias("doc_id"), "known")
 
 
-@query(oracle.TRUNCATED)
+@query(oracle.truncated(10_000))
 def avg_truncated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Averages over the first 50 known words of each document, by the join plan."""
+    """Averages over the first 10,000 known words of each document."""
+    docs = corpus(spark, sf_dir)
+    wv = weighted(spark, sf_dir, docs, vocabulary.uniform_weights)
+    return flat(averages(docs, wv, most_words=10_000).where("known > 0"), name="doc_id")
+
+
+@query(oracle.truncated(50))
+def avg_first_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Averages over the first 50 known words of each document, by the plan for vectors that are too large to be broadcast."""
     docs = corpus(spark, sf_dir)
     wv = weighted(spark, sf_dir, docs, vocabulary.uniform_weights)
-    return flat(averages(docs, wv, most_words=50).where("known > 0"), name="doc_id")
+    sums = sums_joined(docs, wv, ["idx"], 50).where("known > 0")
+    return flat(sums.select("idx", mean().alias("vector")), name="doc_id")
 
 
 @query(oracle.EPS_INIT)
@@ -151,12 +193,13 @@ def usif_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(oracle.INDUCED)
 def induced_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Counts from the frequencies of words in English documents."""
+    """Counts from English frequencies, found in those of all the documents' languages."""
     docs = corpus(spark, sf_dir)
-    english = table(spark, sf_dir, "documents").where("lang = 'en'").select(F.explode(words("text")).alias("word"))
-    n = english.count()
-    freq = english.groupBy("word").agg((F.count(F.lit(1)) / F.lit(float(n))).alias("freq"))
-    return vocabulary.induced_counts(model_vectors(spark, sf_dir, docs).vocab, freq).select("word", "count")
+    every = table(spark, sf_dir, "documents").select("lang", F.explode(words("text")).alias("word"))
+    total = every.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    freq = every.groupBy("lang", "word").agg(F.count(F.lit(1)).alias("k")).join(total, "lang").select("lang", "word", (F.col("k") / F.col("n")).alias("freq"))
+    vocab = model_vectors(spark, sf_dir, docs).vocab
+    return vocabulary.induced_counts(vocab, vocabulary.language_frequencies(freq, "en")).select("word", "count")
 
 
 @query(oracle.averages(oracle.SIF))
@@ -282,6 +325,13 @@ def l2_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flat(linalg.normalised(vectors(spark, sf_dir)))
 
 
+@query(oracle.UNIT + " WHERE idx = 3")
+def unit_vector(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Q2: one row's unit vector."""
+    v = _sv(spark, sf_dir).get_vector(3, use_norm=True)
+    return spark.createDataFrame([(3, d, round(float(x), 6) + 0.0) for d, x in enumerate(v)], "idx long, dim long, value double")
+
+
 @query(oracle.LOOKUP)
 def vector_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Q1: several rows in the asked order."""
@@ -325,11 +375,11 @@ def svd_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(j, round(float(c.sigma[0]), 5), round(float(x), 5) + 0.0) for j, x in enumerate(c.rows[0])], "dim long, sigma double, value double")
 
 
-@query()
+@query(oracle.SVD_FIVE)
 def svd_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Five singular values and vectors."""
+    """Five singular values and vectors, each vector's largest entry positive."""
     c = linalg.principal_components(vectors(spark, sf_dir), 5)
-    return spark.createDataFrame([(k, j, float(s), float(x)) for k, (s, row) in enumerate(zip(c.sigma, c.rows)) for j, x in enumerate(row)], "component long, dim long, sigma double, value double")
+    return spark.createDataFrame([(k, j, round(float(s), 4), round(float(x), 4) + 0.0) for k, (s, row) in enumerate(zip(c.sigma, c.rows)) for j, x in enumerate(row)], "component long, dim long, sigma double, value double")
 
 
 # ---- estimators -----------------------------------------------------------------------------------------------------
@@ -342,11 +392,11 @@ def sif_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flat(SIFEmbedding(model_vectors(spark, sf_dir, docs)).fit(docs).vectors, digits=5, name="doc_id")
 
 
-@query()
+@query(oracle.USIF_EMBEDDING)
 def usif_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """uSIF vectors of all documents, five components being reduced."""
     docs = corpus(spark, sf_dir)
-    return flat(USIFEmbedding(model_vectors(spark, sf_dir, docs), length=11).fit(docs).vectors, name="doc_id")
+    return flat(USIFEmbedding(model_vectors(spark, sf_dir, docs), length=11).fit(docs).vectors, digits=5, name="doc_id")
 
 
 @query(oracle.SIF_INFER)
@@ -357,6 +407,14 @@ def sif_infer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flat(model.transform(corpus(spark, sf_dir, "benchmark", "item_id")), digits=5, name="item_id")
 
 
+@query(oracle.APPENDED)
+def appended_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """T4: plain averages of all documents, to which the benchmark's items are added with indices that go on."""
+    docs = corpus(spark, sf_dir)
+    model = AverageEmbedding(model_vectors(spark, sf_dir, docs)).fit(docs)
+    return flat(model.append(corpus(spark, sf_dir, "benchmark", "item_id")).vectors)
+
+
 @query(oracle.averages("1.0"))
 def streaming_infer(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as a stream, each micro-batch embedded and appended to Parquet."""
@@ -385,18 +443,29 @@ def char_ngram_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(oracle.HASHES)
 def ngram_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The hash of every distinct word of the benchmark."""
-    every = table(spark, sf_dir, "benchmark").select(F.explode(words("text")).alias("word")).distinct()
-    return every.select("word", fnv(F.col("word")).alias("hash"))
+    """The hash of every distinct n-gram of the documents' words."""
+    every = corpus(spark, sf_dir).select(F.explode("words").alias("word")).distinct()
+    return every.select(F.explode(char_ngrams(F.col("word"))).alias("gram")).distinct().select("gram", fnv(F.col("gram")).alias("hash"))
 
 
-@query(oracle.SUBWORD)
-def subword_avg(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Benchmark items with n-gram vectors for words outside the vocabulary of the documents."""
+def _subword_vectors(spark: SparkSession, sf_dir: str) -> WordVectors:
     wv = weighted(spark, sf_dir, corpus(spark, sf_dir), vocabulary.uniform_weights)
     buckets = vectors(spark, sf_dir).select(F.col("idx").alias("bucket_id"), "vector")
-    ft = WordVectors(wv.vocab, wv.size, wv.words, buckets, 3, 6, wv.words)
-    return flat(averages(corpus(spark, sf_dir, "benchmark", "item_id"), ft), name="item_id")
+    return WordVectors(wv.vocab, wv.size, wv.words, buckets, 3, 6, wv.words)
+
+
+@query(oracle.subword("documents", "doc_id"))
+def subword_avg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with n-gram vectors for words outside the vocabulary."""
+    return flat(averages(corpus(spark, sf_dir), _subword_vectors(spark, sf_dir)), name="doc_id")
+
+
+@query(oracle.subword("benchmark", "item_id"))
+def subword_joined(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items by the plan for vectors that are too large to be broadcast, n-grams being joined to theirs."""
+    items, wv = corpus(spark, sf_dir, "benchmark", "item_id"), _subword_vectors(spark, sf_dir)
+    sums = sums_joined(items.withColumn("n", F.size("words")), with_unknown(items, wv), ["idx", "n"], None)
+    return flat(sums.select("idx", mean("sums", "n").alias("vector")), name="item_id")
 
 
 # ---- evaluation -----------------------------------------------------------------------------------------------------

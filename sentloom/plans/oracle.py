@@ -49,11 +49,14 @@ MANY_TO_ONE = f"""
 EFFECTIVE = f"""
     WITH {_VOCAB}, met AS (SELECT t.idx, count(*) AS k FROM tok t JOIN wv USING (word) GROUP BY t.idx)
     SELECT doc_id, coalesce(k, 0)::BIGINT AS known FROM documents LEFT JOIN met ON met.idx = doc_id"""
-TRUNCATED = f"""
+def truncated(most: int) -> str:
+    return f"""
     WITH {_VOCAB}, placed AS (SELECT doc_id AS idx, generate_subscripts({_WORDS}, 1) AS pos, unnest({_WORDS}) AS word FROM documents),
     met AS (SELECT p.idx, m.v, row_number() OVER (PARTITION BY p.idx ORDER BY p.pos) AS k FROM placed p JOIN wv m ON m.word = p.word),
-    cell AS (SELECT idx, generate_subscripts(v, 1) - 1 AS dim, unnest(v) AS x FROM met WHERE k <= 50)
+    cell AS (SELECT idx, generate_subscripts(v, 1) - 1 AS dim, unnest(v) AS x FROM met WHERE k <= {most})
     SELECT idx AS doc_id, dim::BIGINT AS dim, round(avg(x), 6) + 0.0 AS value FROM cell GROUP BY idx, dim"""
+
+
 EPS_INIT = f"""
     WITH {_VOCAB}, cell AS (SELECT t.idx, generate_subscripts(m.v, 1) - 1 AS dim, unnest(m.v) AS x FROM tok t JOIN wv m ON m.word = t.word),
     means AS (SELECT idx, dim, avg(x) AS a FROM cell GROUP BY idx, dim),
@@ -109,40 +112,73 @@ def removed(squared: float) -> str:
     SELECT idx, (generate_subscripts(v, 1) - 1)::BIGINT AS dim, round(unnest(v) - s * unnest(c), 6) + 0.0 AS value FROM p"""
 
 
-def _gram(rows: str) -> str:
-    """CTEs cells(i, j, x), g(rows) and a power iteration pw(v) over a relation of (idx, v)."""
-    return f"""long AS MATERIALIZED (SELECT idx, generate_subscripts(v, 1) AS d, unnest(v) AS x FROM {rows}),
+def _gram(rows: str, parts: int = 1) -> str:
+    """CTEs cells(i, j, x), g(rows) and p(k, v, sigma), the first `parts` singular vectors and values of a relation of (idx, v).
+
+    The Gramian is squared 16 times, which leaves no trace of any but its largest eigenvalue; that part is then subtracted for the next."""
+    out = f"""long AS MATERIALIZED (SELECT idx, generate_subscripts(v, 1) AS d, unnest(v) AS x FROM {rows}),
     cells AS MATERIALIZED (SELECT a.d AS i, b.d AS j, sum(a.x * b.x) AS x FROM long a JOIN long b ON a.idx = b.idx GROUP BY a.d, b.d),
     g AS MATERIALIZED (SELECT list(row ORDER BY i) AS rows FROM (SELECT i, list(x ORDER BY j) AS row FROM cells GROUP BY i)),
-    power(step, v) AS (
-        SELECT 0, list_transform(range(64), lambda k: 0.125::DOUBLE + k * 0.001) UNION ALL
-        SELECT step + 1, list_transform(w, lambda x: x / sqrt(list_dot_product(w, w))) FROM (
-            SELECT step, list_transform(g.rows, lambda r: list_dot_product(r, v)) AS w FROM power, g WHERE step < 300)),
-    pw AS MATERIALIZED (SELECT v FROM power ORDER BY step DESC LIMIT 1)"""
-
-
-GRAMIAN = f"WITH RECURSIVE {_SV}, {_gram('sv')} SELECT (i - 1)::BIGINT AS i, (j - 1)::BIGINT AS j, round(x, 4) + 0.0 AS value FROM cells"
-SVD = f"""
-    WITH RECURSIVE {_SV}, {_gram('sv')},
-    signed AS (SELECT v, sqrt(list_dot_product(v, list_transform(g.rows, lambda r: list_dot_product(r, v)))) AS sigma,
-        CASE WHEN list_max(v) >= -list_min(v) THEN 1.0 ELSE -1.0 END AS s FROM pw, g)
-    SELECT (generate_subscripts(v, 1) - 1)::BIGINT AS dim, round(sigma, 5) AS sigma, round(unnest(v) * s, 5) + 0.0 AS value FROM signed"""
-_SIF_RAW = f"""{_VOCAB}, weighted AS (SELECT word, v, {SIF} AS w FROM wv),
+    g0 AS (SELECT rows FROM g)"""
+    for k in range(parts):
+        out += f""",
+    power{k}(step, rows) AS (
+        SELECT 0, list_transform(rows, lambda r: list_transform(r, lambda x: x / list_max(list_transform(rows, lambda q: list_max(q))))) FROM g{k} UNION ALL
+        SELECT step + 1, list_transform(sq, lambda r: list_transform(r, lambda x: x / top)) FROM (
+            SELECT step, sq, list_max(list_transform(sq, lambda q: list_max(q))) AS top FROM (
+                SELECT step, list_transform(rows, lambda r: list_transform(rows, lambda q: list_dot_product(r, q))) AS sq FROM power{k} WHERE step < 16))),
+    last{k} AS (SELECT rows[list_position(list_transform(rows, lambda r: list_max(r)), list_max(list_transform(rows, lambda r: list_max(r))))] AS v FROM power{k} ORDER BY step DESC LIMIT 1),
+    unit{k} AS (SELECT list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) AS v FROM last{k}),
+    part{k} AS MATERIALIZED (SELECT {k} AS k, list_transform(v, lambda x: x * CASE WHEN list_max(v) >= -list_min(v) THEN 1.0 ELSE -1.0 END) AS v,
+        list_dot_product(v, list_transform(g{k}.rows, lambda r: list_dot_product(r, v))) AS square FROM unit{k}, g{k}),
+    g{k + 1} AS MATERIALIZED (SELECT list_transform(rows, lambda r, i: list_transform(r, lambda x, j: x - square * v[i] * v[j])) AS rows FROM g{k}, part{k})"""
+    every = " UNION ALL ".join(f"SELECT * FROM part{k}" for k in range(parts))
+    return out + f""",
+    p AS MATERIALIZED (SELECT k, v, sqrt(square) AS sigma FROM ({every}))"""
+
+
+_LONG = "long AS MATERIALIZED (SELECT idx, generate_subscripts(v, 1) AS d, unnest(v) AS x FROM sv)"
+GRAMIAN = f"WITH {_SV}, {_LONG} SELECT (a.d - 1)::BIGINT AS i, (b.d - 1)::BIGINT AS j, round(sum(a.x * b.x), 4) + 0.0 AS value FROM long a JOIN long b ON a.idx = b.idx GROUP BY a.d, b.d"
+SVD = f"WITH RECURSIVE {_SV}, {_gram('sv')} SELECT (generate_subscripts(v, 1) - 1)::BIGINT AS dim, round(sigma, 5) AS sigma, round(unnest(v), 5) + 0.0 AS value FROM p"
+SVD_FIVE = f"WITH RECURSIVE {_SV}, {_gram('sv', 5)} SELECT k::BIGINT AS component, (generate_subscripts(v, 1) - 1)::BIGINT AS dim, round(sigma, 4) AS sigma, round(unnest(v), 4) + 0.0 AS value FROM p"
+
+
+def _raw(weight: str, parts: int) -> str:
+    """CTEs of the sentence vectors before the removal of components, and these."""
+    return f"""{_VOCAB}, weighted AS (SELECT word, v, {weight} AS w FROM wv),
     cell AS (SELECT t.idx, generate_subscripts(m.v, 1) AS d, unnest(m.v) * m.w AS x FROM tok t JOIN weighted m ON m.word = t.word),
     means AS (SELECT idx, d, sum(x) / count(*) AS a FROM cell GROUP BY idx, d),
     grid AS (SELECT i.idx, k.d FROM (SELECT unnest(range((SELECT max(doc_id) + 1 FROM documents))) AS idx) i, (SELECT unnest(range(1, 65)) AS d) k),
     raw AS MATERIALIZED (SELECT idx, list(x ORDER BY d) AS v FROM (SELECT g.idx, g.d, coalesce(a, 0.0) + {EPS} AS x FROM grid g LEFT JOIN means m ON m.idx = g.idx AND m.d = g.d) GROUP BY idx),
-    {_gram('raw')}"""
+    {_gram('raw', parts)}"""
+
+
 SIF_EMBEDDING = f"""
-    WITH RECURSIVE {_SIF_RAW}, p AS (SELECT idx, raw.v, pw.v AS c, list_dot_product(raw.v, pw.v) AS s FROM raw, pw)
-    SELECT idx::BIGINT AS doc_id, (generate_subscripts(v, 1) - 1)::BIGINT AS dim, round(unnest(v) - s * unnest(c), 5) + 0.0 AS value FROM p"""
+    WITH RECURSIVE {_raw(SIF, 1)}, o AS (SELECT idx, raw.v, p.v AS c, list_dot_product(raw.v, p.v) AS s FROM raw, p)
+    SELECT idx::BIGINT AS doc_id, (generate_subscripts(v, 1) - 1)::BIGINT AS dim, round(unnest(v) - s * unnest(c), 5) + 0.0 AS value FROM o"""
+USIF_EMBEDDING = f"""
+    WITH RECURSIVE {_raw(USIF, 5)},
+    share AS (SELECT k, v AS c, pow(sigma * sigma / sum(sigma * sigma) OVER (), 2) AS w FROM p),
+    o AS (SELECT idx, generate_subscripts(c, 1) - 1 AS dim, list_dot_product(raw.v, c) * w * unnest(c) AS x FROM raw, share),
+    less AS (SELECT idx, dim, sum(x) AS x FROM o GROUP BY idx, dim)
+    SELECT idx::BIGINT AS doc_id, dim::BIGINT AS dim, round(raw.v[dim + 1] - x, 5) + 0.0 AS value FROM less JOIN raw USING (idx)"""
 SIF_INFER = f"""
-    WITH RECURSIVE {_SIF_RAW}, item AS ({_tokens('benchmark', 'item_id')}),
+    WITH RECURSIVE {_raw(SIF, 1)}, item AS ({_tokens('benchmark', 'item_id')}),
     icell AS (SELECT t.idx, generate_subscripts(m.v, 1) AS d, unnest(m.v) * m.w AS x FROM item t JOIN weighted m ON m.word = t.word),
     imean AS (SELECT idx, d, sum(x) / count(*) AS a FROM icell GROUP BY idx, d),
     ivec AS (SELECT idx, list(x ORDER BY d) AS v FROM (SELECT b.item_id AS idx, k.d, coalesce(a, 0.0) AS x FROM benchmark b CROSS JOIN (SELECT unnest(range(1, 65)) AS d) k LEFT JOIN imean m ON m.idx = b.item_id AND m.d = k.d) GROUP BY idx),
-    p AS (SELECT idx, ivec.v, pw.v AS c, list_dot_product(ivec.v, pw.v) AS s FROM ivec, pw)
-    SELECT idx AS item_id, (generate_subscripts(v, 1) - 1)::BIGINT AS dim, round(unnest(v) - s * unnest(c), 5) + 0.0 AS value FROM p"""
+    o AS (SELECT idx, ivec.v, p.v AS c, list_dot_product(ivec.v, p.v) AS s FROM ivec, p)
+    SELECT idx AS item_id, (generate_subscripts(v, 1) - 1)::BIGINT AS dim, round(unnest(v) - s * unnest(c), 5) + 0.0 AS value FROM o"""
+APPENDED = f"""
+    WITH {_VOCAB}, every AS (SELECT idx, word FROM tok UNION ALL SELECT idx + (SELECT max(doc_id) + 1 FROM documents), word FROM ({_tokens('benchmark', 'item_id')})),
+    cell AS (SELECT t.idx, generate_subscripts(m.v, 1) - 1 AS dim, unnest(m.v) AS x FROM every t JOIN wv m ON m.word = t.word),
+    means AS (SELECT idx, dim, avg(x) AS a FROM cell GROUP BY idx, dim),
+    home AS (SELECT unnest(range((SELECT max(doc_id) + 1 FROM documents))) AS idx, {EPS} AS e UNION ALL SELECT item_id + (SELECT max(doc_id) + 1 FROM documents), 0.0 FROM benchmark)
+    SELECT h.idx::BIGINT AS idx, d.dim::BIGINT AS dim, round(coalesce(a, 0.0) + e, 6) + 0.0 AS value FROM home h CROSS JOIN (SELECT unnest(range(64)) AS dim) d LEFT JOIN means m ON m.idx = h.idx AND m.dim = d.dim"""
+LINES = "SELECT row_number() OVER (ORDER BY item_id) - 1 AS idx, translate(text, chr(13) || chr(10) || chr(9), '   ') AS text FROM benchmark"
+SENTENCE_PAIRS = """
+    WITH t AS (SELECT item_id, translate(text, chr(13) || chr(10) || chr(9), '   ') AS t FROM benchmark)
+    SELECT row_number() OVER (ORDER BY a.item_id) - 1 AS row, (a.item_id % 6)::DOUBLE / 4 AS score, a.t AS sentence1, b.t AS sentence2 FROM t a JOIN t b ON b.item_id = a.item_id + 1"""
 
 _GRAMS = """flatten(list_transform(range(1, length(e) + 1), lambda i: list_transform(list_filter(range(3, 7), lambda n: i + n - 1 <= length(e)), lambda n: substr(e, i, n))))"""
 NGRAMS = f"""
@@ -156,20 +192,28 @@ def _fnv(text: str) -> str:
         lambda h, b: (xor(h, b) * 16777619) & 4294967295)"""
 
 
-HASHES = f"SELECT word, {_fnv('word')}::BIGINT AS hash FROM (SELECT DISTINCT word FROM ({_tokens('benchmark', 'item_id')}))"
-SUBWORD = f"""
-    WITH {_VOCAB}, item AS (SELECT item_id, unnest({_WORDS}) AS word FROM benchmark),
-    size AS (SELECT item_id, count(*) AS n FROM item GROUP BY item_id),
-    known AS (SELECT t.item_id, generate_subscripts(m.v, 1) AS d, unnest(m.v) AS x FROM item t JOIN wv m ON m.word = t.word),
-    lost AS (SELECT item_id, word, '<' || word || '>' AS e FROM item WHERE word NOT IN (SELECT word FROM wv)),
-    words AS (SELECT DISTINCT word, e FROM lost),
+HASHES = f"""
+    WITH w AS (SELECT DISTINCT '<' || word || '>' AS e FROM ({_tokens()})), grams AS (SELECT DISTINCT unnest({_GRAMS}) AS gram FROM w)
+    SELECT gram, {_fnv('gram')}::BIGINT AS hash FROM grams"""
+
+
+def subword(table: str, key: str) -> str:
+    return f"""
+    WITH {_VOCAB}, item AS MATERIALIZED (SELECT {key}, unnest({_WORDS}) AS word FROM {table}),
+    size AS (SELECT {key}, count(*) AS n FROM item GROUP BY {key}),
+    counted AS MATERIALIZED (SELECT {key}, word, count(*) AS tf FROM item GROUP BY {key}, word),
+    known AS (SELECT t.{key}, generate_subscripts(m.v, 1) AS d, unnest(m.v) * tf AS x FROM counted t JOIN wv m ON m.word = t.word),
+    lost AS (SELECT {key}, c.word, tf FROM counted c ANTI JOIN wv ON wv.word = c.word),
+    words AS (SELECT word, '<' || word || '>' AS e FROM (SELECT DISTINCT word FROM lost)),
     grams AS (SELECT word, {_GRAMS}[1:40] AS gs FROM words),
-    hashed AS (SELECT word, len(gs) AS k, unnest(gs) AS gram FROM grams),
-    buckets AS (SELECT word, k, {_fnv('gram')} % (SELECT count(*) FROM embeddings) AS b FROM hashed),
-    gcell AS (SELECT word, k, generate_subscripts(embedding, 1) AS d, unnest(embedding)::DOUBLE AS x FROM buckets JOIN embeddings ON vec_id = b),
-    wcell AS (SELECT word, d, sum(x) / any_value(k) AS x FROM gcell GROUP BY word, d),
-    cell AS (SELECT * FROM known UNION ALL SELECT item_id, d, x FROM lost JOIN wcell USING (word))
-    SELECT b.item_id, (k.d - 1)::BIGINT AS dim, round(coalesce(s / n, 0.0), 6) + 0.0 AS value
-    FROM benchmark b CROSS JOIN (SELECT unnest(range(1, 65)) AS d) k LEFT JOIN (SELECT item_id, d, sum(x) AS s FROM cell GROUP BY item_id, d) c ON c.item_id = b.item_id AND c.d = k.d LEFT JOIN size z ON z.item_id = b.item_id"""
+    placed AS MATERIALIZED (SELECT word, len(gs) AS k, unnest(gs) AS gram FROM grams),
+    hashed AS MATERIALIZED (SELECT gram, {_fnv('gram')} % (SELECT count(*) FROM embeddings) AS b FROM (SELECT DISTINCT gram FROM placed)),
+    made AS (SELECT {key}, b, sum(tf / k::DOUBLE) AS w FROM lost JOIN placed USING (word) JOIN hashed USING (gram) GROUP BY {key}, b),
+    mcell AS (SELECT {key}, generate_subscripts(embedding, 1) AS d, unnest(embedding)::DOUBLE * w AS x FROM made JOIN embeddings ON vec_id = b),
+    cell AS (SELECT * FROM known UNION ALL SELECT * FROM mcell)
+    SELECT b.{key}, (k.d - 1)::BIGINT AS dim, round(coalesce(s / n, 0.0), 6) + 0.0 AS value
+    FROM {table} b CROSS JOIN (SELECT unnest(range(1, 65)) AS d) k LEFT JOIN (SELECT {key}, d, sum(x) AS s FROM cell GROUP BY {key}, d) c ON c.{key} = b.{key} AND c.d = k.d LEFT JOIN size z ON z.{key} = b.{key}"""
+
+
 PEARSON = f"""
     WITH {_SV} SELECT round(corr(list_cosine_similarity(a.v, b.v), (a.label = b.label)::INT::DOUBLE) * 100, 5) AS pearson FROM sv a JOIN sv b ON b.idx = a.idx + 1"""

@@ -67,7 +67,8 @@ def lines(spark: SparkSession, path: str) -> DataFrame:
 def line_at(corpus: DataFrame, i: int) -> str:
     """The text of one line without trailing white space; a negative i counts from the end."""
     if i < 0:
-        i += (corpus.agg(F.max("idx")).first()[0] or -1) + 1
+        last = corpus.agg(F.max("idx")).first()[0]
+        i += 0 if last is None else last + 1
     row = corpus.where(F.col("idx") == i).select(F.regexp_replace("text", "[\\s\\u00a0]+$", "").alias("t")).first()
     if row is None:
         raise IndexError(i)
@@ -82,9 +83,11 @@ def sentence_pairs(spark: SparkSession, path: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder in the cluster's shared one; a local one only where none is named, as in tests."""
+    """A new folder in the cluster's shared one; a local one only where none is named and all runs on one machine, as in tests."""
     home = spark.conf.get("spark.checkpoint.dir", None)
     if not home:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that all executors share")
         import tempfile
 
         home = os.path.join(tempfile.gettempdir(), "sentloom")
