@@ -22,7 +22,8 @@ from .kernel import U, Words, chunks, column
 from .quality import held_out
 
 STATES, LEAST, PASSES = 6, 2, 40
-TOLERANCE = 0.03  # natural log likelihood of a token that a pass must gain for another one to follow
+TOLERANCE = 0.05  # natural log likelihood of a token that a pass must gain for another one to follow
+LEAN, STAY = 0.5, 0.9  # how far a word's count decides its state at first, and how likely a state goes on
 PRIOR = 1e4  # tokens by which each state's words are drawn to those of the whole corpus
 END = U(0xE5D0_FACE_0DD5_1DE5)  # the fingerprint that stands for the end of a text
 STEP_BYTES, BLOCK_BYTES = 4 << 20, 16 << 20
@@ -86,8 +87,8 @@ def first_shares(count: np.ndarray, seen: int, states: int) -> np.ndarray:
     """Shares of the states in words, from each word's count alone."""
     power = np.frexp(np.maximum(count, 1).astype(float))[1] - 1
     band = np.minimum(power * states / max(1.0, 0.75 * np.log2(max(2, seen))), states - 1).astype(int)
-    out = np.full((states, len(count)), 0.3 / states)
-    out[band, np.arange(len(count))] += 0.7
+    out = np.full((states, len(count)), (1 - LEAN) / states)
+    out[band, np.arange(len(count))] += LEAN
     return out
 
 
@@ -111,6 +112,7 @@ def expect(emit: np.ndarray, start: np.ndarray, move: np.ndarray, symbols: np.nd
     if not n:
         return np.zeros(k), np.zeros((k, k)), np.zeros((k, emit.shape[1])), 0.0
     begin = np.cumsum(running, dtype=np.int64) - running
+    symbols = symbols.astype(np.intp)
     e = emit.astype(kind)[:, symbols]
     alpha, scale = np.empty((k, n), kind), np.empty(n, kind)
     back, ahead, a = np.ascontiguousarray(move.T.astype(kind)), move.astype(kind), None
@@ -285,7 +287,7 @@ def train(blocks: DataFrame, owners: int, states: int = STATES, add: float = 0.1
     got = np.zeros(2 * BINS) if got is None else got
     seen, kinds = int(got[:BINS].sum()), int(got[BINS:].sum())
     used = first_shares(2 ** np.arange(BINS, dtype=float), seen, states) @ got[:BINS]
-    model = Model(np.full(states, 1 / states), 0.5 / states + 0.5 * np.eye(states), used, seen, kinds, add)
+    model = Model(np.full(states, 1 / states), (1 - STAY) / states + STAY * np.eye(states), used, seen, kinds, add)
     told = counts
     norm = lambda x: (x + 0.01) / (x + 0.01).sum(axis=-1, keepdims=True)
     while seen and len(model.history) < most:

@@ -428,10 +428,10 @@ def plain_model(rows, states, passes, prior=language_model.PRIOR, add=0.1):
     unknown = add / (n + add * (v + 1))
     c = np.array([count[x] for x in words], float)
     band = [min(int((int(x).bit_length() - 1) * states / max(1.0, 0.75 * math.log2(n))), states - 1) for x in c]
-    lean = np.full((states, v), 0.3 / states)
-    lean[band, np.arange(v)] += 0.7
+    lean = np.full((states, v), 0.5 / states)
+    lean[band, np.arange(v)] += 0.5
     expected = lean * c
-    start, move = np.full(states, 1 / states), 0.5 / states + 0.5 * np.eye(states)
+    start, move = np.full(states, 1 / states), 0.1 / states + 0.9 * np.eye(states)
     place = {x: i for i, x in enumerate(words)}
 
     def emit():
