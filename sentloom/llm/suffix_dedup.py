@@ -6,8 +6,8 @@ segment contain one *core* of 209 bytes. Equal strings have equal cores. Fingerp
 only segments whose core repeats travel, as bytes and each once a bucket, to the owner of the core. There regions
 with the same core get a suffix array: suffixes smaller than their successors are sorted directly, the rest induced
 by bucket scans; neighbours with a common prefix of 400 bytes are repeats. A core that more than HOT segments hold is
-not sent as bytes, since no task could take all its regions: its strings are compared by fingerprints of all their
-bytes, each once a bucket.
+not sent as bytes, since no task could take all its regions: its strings are compared by two independent 64-bit fingerprints
+of all their bytes, each once a bucket; two different strings agree in both with a probability near 2**-120.
 """
 
 from __future__ import annotations
@@ -21,6 +21,7 @@ from . import exchange as X
 from .kernel import BYTE, U, chunks, column, minimizers, mix, prefix, span, windows
 
 GRAM = 32
+SECOND = BYTE[256:512]  # other values of the 256 bytes, for a second fingerprint
 HOT = 4096
 BUCKET_BYTES = 8 << 20  # regions and their flags take several times a bucket's bytes
 OUT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("spans", pa.list_(pa.int64())), ("kept", pa.binary())])
@@ -222,19 +223,32 @@ class _Bucket:
         return segs, number, [r for _, r in ordered], keys, np.bincount(number, minlength=len(seen))
 
     def hot(self, code: np.ndarray):
-        """Strings of the segments with code 2: (places, fingerprints)."""
+        """Strings of the segments with code 2: (places, two fingerprints of each)."""
         segs = np.flatnonzero(code[self.which] == 2)
-        places, prints = [], []
+        places, prints, others = [], [], []
         for c, (i, j) in enumerate(self.chunks):
             own = segs[self.of[segs] == c]
             if len(own):
                 base = int(self.offsets[i])
-                sums = prefix(BYTE[self.data[base : int(self.offsets[j])]])
+                part = self.data[base : int(self.offsets[j])]
                 n = self.hi[own] - self.lo[own] + 1
                 at = np.repeat(self.lo[own] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
                 places.append(at)
-                prints.append(mix(span(sums, at - base, at - base + self.width) ^ np.repeat(self.key[own], n)))
-        return (np.concatenate(places), np.concatenate(prints)) if places else (np.empty(0, np.int64), np.empty(0, U))
+                prints.append(mix(span(prefix(BYTE[part]), at - base, at - base + self.width) ^ np.repeat(self.key[own], n)))
+                others.append(span(prefix(SECOND[part]), at - base, at - base + self.width))
+        cat = lambda xs, t: np.concatenate(xs) if xs else np.empty(0, t)
+        return cat(places, np.int64), cat(prints, U), cat(others, U)
+
+
+def _distinct(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(a, b, number of the pair at each place, how often each pair occurs) of the distinct pairs, by a and then b."""
+    order = np.lexsort((b, a))
+    x, y = a[order], b[order]
+    new = np.ones(len(x), bool)
+    new[1:] = (x[1:] != x[:-1]) | (y[1:] != y[:-1])
+    which = np.empty(len(x), np.int64)
+    which[order] = np.cumsum(new) - 1
+    return x[new], y[new], which, np.bincount(which, minlength=int(new.sum()))
 
 
 def _codes(said: pa.Table) -> np.ndarray:
@@ -303,7 +317,7 @@ def suffix_dedup(docs: DataFrame, width: int = 400, hot: int = HOT) -> DataFrame
     (starts and ends of the maximal removed runs, flat) and kept (the remaining bytes, which need not be valid UTF-8),
     one row for each input row. A null or empty text has no bytes; texts shorter than `width` stay whole. Repeated rows
     are texts of their own, so their strings repeat. Other columns are ignored. Strings in segments whose core more than `hot`
-    segments have are equal when their 64-bit fingerprints are.
+    segments have are equal when two independent 64-bit fingerprints are.
     """
     n = X.buckets_for(docs, BUCKET_BYTES)
     rows = X.bucketed(docs, n)
@@ -331,10 +345,10 @@ def suffix_dedup(docs: DataFrame, width: int = 400, hot: int = HOT) -> DataFrame
         lengths = np.fromiter(map(len, regions), np.int32, len(regions))
         for o, x, y in zip(who, cuts[:-1], cuts[1:]):
             out.append((bucket, int(o), False, int(y - x), keys[x:y].tobytes(), lengths[x:y].tobytes(), np.minimum(counts[x:y], 2).astype(np.uint8).tobytes(), b"".join(regions[x:y])))
-        prints, counts = np.unique(b.hot(code)[1], return_counts=True)
+        prints, others, _, counts = _distinct(*b.hot(code)[1:])
         who, cuts = X.split(prints, owners)
         for o, x, y in zip(who, cuts[:-1], cuts[1:]):
-            out.append((bucket, int(o), True, int(y - x), prints[x:y].tobytes(), None, np.minimum(counts[x:y], 2).astype(np.uint8).tobytes(), None))
+            out.append((bucket, int(o), True, int(y - x), prints[x:y].tobytes(), None, np.minimum(counts[x:y], 2).astype(np.uint8).tobytes(), others[x:y].tobytes()))
         return pa.table([pa.array(c, f.type) for c, f in zip(zip(*out), SEND)], schema=SEND) if out else SEND.empty_table()
 
     def judge(table: pa.Table) -> pa.Table:
@@ -344,7 +358,8 @@ def suffix_dedup(docs: DataFrame, width: int = 400, hot: int = HOT) -> DataFrame
         result: list[bytes] = [b""] * table.num_rows
         rows_hot = np.flatnonzero(spread)
         if len(rows_hot):
-            _, which = np.unique(np.concatenate([keys[r] for r in rows_hot]), return_inverse=True)
+            others = [np.frombuffer(table.column("regions")[int(r)].as_py(), U) for r in rows_hot]
+            _, _, which, _ = _distinct(np.concatenate([keys[r] for r in rows_hot]), np.concatenate(others))
             total = np.bincount(which, weights=np.concatenate([counts[r] for r in rows_hot]))
             cuts = np.concatenate([[0], np.cumsum([len(keys[r]) for r in rows_hot])])
             for r, x, y in zip(rows_hot, cuts[:-1], cuts[1:]):
@@ -384,10 +399,10 @@ def suffix_dedup(docs: DataFrame, width: int = 400, hot: int = HOT) -> DataFrame
         begin = np.concatenate([[0], np.cumsum(sizes)])[number]  # of each segment
         order = np.argsort(segs)
         segs, begin = segs[order], begin[order]
-        places, prints = b.hot(code)
+        places, prints, others = b.hot(code)
         found = np.empty(0, np.uint8)
         if len(places):
-            known, which = np.unique(prints, return_inverse=True)
+            which = _distinct(prints, others)[2]
             found = X.bits(told.filter(pa.array(is_hot)))[which].astype(np.uint8)
         counts, runs, kept, left = [], [], [], []
         for i, j in b.chunks:  # strings stay within their text, so a chunk of texts at a time does
