@@ -24,7 +24,7 @@ from .kernel import PUNCT, Words, chunks, column
 
 INDEX_BYTES = 8 << 20  # texts of test items in one index; more items make more indexes, one after another
 BLOCK = 32
-COMMON = 0.3  # share of its own score that an item's common terms may have; below any useful threshold
+COMMON = 0.5  # share of the threshold that an item's common terms may reach together
 
 
 def question_and_answer(text: str) -> tuple[str, str]:
@@ -69,7 +69,7 @@ class Index:
     impacts: np.ndarray
 
     @staticmethod
-    def build(ids: list[int], texts: list[str], k1: float = 1.2, b: float = 0.75) -> Index:
+    def build(ids: list[int], texts: list[str], threshold: float, k1: float = 1.2, b: float = 0.75) -> Index:
         words = _hashes(texts)
         counts = [np.unique(w, return_counts=True) for w in words]
         size = np.array([len(w) for w in words], float)
@@ -104,7 +104,7 @@ class Index:
         for t in np.argsort(-np.diff(at), kind="stable").tolist():  # the most frequent first
             of = items[at[t] : at[t + 1]]
             more = common[of] + impacts[at[t] : at[t + 1]]
-            if (more <= COMMON).all():
+            if (more <= COMMON * threshold).all():  # so that no passage reaches the threshold by common terms alone
                 common[of] = more
                 rare[t] = False
         return Index(terms, bound, postings, ids, parts, int(size.max(initial=1)), rare, common, at, items, impacts)
@@ -200,15 +200,17 @@ class Index:
         return [(t, self.ids[item], *x) for (t, item), x in sorted(best.items())]
 
 
-def indexes(benchmark: DataFrame):
-    """Indexes of all items, each of a bounded size: items are dealt to as many as their bytes need. Null or empty items match nothing."""
+def indexes(benchmark: DataFrame, threshold: float):
+    """Indexes of all items for one threshold, each of a bounded size: items are dealt to as many as their bytes need. Null or empty items match nothing."""
+    if not threshold > 0:
+        raise ValueError("a threshold of 0 would match items that share no word with a text")
     rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null")
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(1, -(-total // INDEX_BYTES))
     for k in range(n):
         got = rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k).orderBy("item_id", "text").toArrow()
         if got.num_rows:
-            yield Index.build(got.column(0).to_pylist(), got.column(1).to_pylist())
+            yield Index.build(got.column(0).to_pylist(), got.column(1).to_pylist(), threshold)
 
 
 THRESHOLD, OVERLAP = 0.6, 0.6
@@ -226,7 +228,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, threshold: float = THRE
     each for each item, and so do repeated items. Other columns are ignored. Nothing is shuffled.
     """
     out = None
-    for index in indexes(benchmark):
+    for index in indexes(benchmark, threshold):
         one = _search(docs, index, threshold, overlap)
         out = one if out is None else out.unionByName(one)
     return docs.sparkSession.createDataFrame([], FOUND_SQL) if out is None else out
@@ -250,7 +252,7 @@ def _search(docs: DataFrame, index: Index, threshold: float, overlap: float) ->
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, overlap: float = OVERLAP) -> DataFrame:
     """The rows of docs, all columns, that hold no test item; see contamination()."""
-    for index in indexes(benchmark):
+    for index in indexes(benchmark, threshold):
         docs = docs.where(_clean(docs.sparkSession.sparkContext.broadcast(index), threshold, overlap)(F.col(X.TEXT).cast("string")))
     return docs
 

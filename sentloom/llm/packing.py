@@ -1,8 +1,8 @@
 """Op 3. Best-fit packing with swap-based local search.
 
 Texts become token ids without a shuffle; only (piece, length) rows are packed. Groups of pieces are packed apart:
-best fit over descending lengths, then a local search among the underfull bins. Full bins are final. The emptiest bins of all
-groups are opened again and packed together, group by group of groups, until one group is left.
+best fit over descending lengths, then a local search among the underfull bins. Full bins are final. All others are
+opened again and their pieces packed in new groups, until one group is left.
 """
 
 from __future__ import annotations
@@ -218,13 +218,14 @@ def best_fit(lengths: list[int], capacity: int) -> list[list[int]]:
     return bins
 
 
-def local_search(bins: list[list[int]], lengths: list[int], capacity: int, rounds: int = 4, tries: int = 64, seed: int = 7) -> list[list[int]]:
+def local_search(bins: list[list[int]], lengths: list[int], capacity: int, tries: int = 64, seed: int = 7) -> list[list[int]]:
     """Moves, one-for-one and two-for-one exchanges between underfull bins, each of which increases the sum of squared
-    fills; bins that become empty go. Bins that are full stay as they are."""
+    fills; bins that become empty go. Bins that are full stay as they are. In a round each bin tries `tries` fuller ones at random; rounds
+    follow one another until one gains nothing (each gain is a whole number, so they end)."""
     fill = [sum(lengths[x] for x in b) for b in bins]
     loose = [b for b in range(len(bins)) if fill[b] < capacity]
     rnd = random.Random(seed)
-    for _ in range(rounds):
+    while True:
         gained = False
         loose = sorted((b for b in loose if 0 < fill[b] < capacity), key=lambda b: fill[b])
         if len(loose) < 2:
@@ -263,14 +264,15 @@ def local_search(bins: list[list[int]], lengths: list[int], capacity: int, round
     return [b for b in bins if b]
 
 
-GROUP = 1 << 16
-OPENED = 256  # emptiest bins that a group passes on
-FAN = 64
+GROUP = 1 << 16  # pieces that are packed together
 PACKED = "row string, piece int, grp long, bin long, offset long, fill long, length long"
 
 
 def pack(parts: DataFrame, capacity: int) -> DataFrame:
-    """Adds sequence_id and offset to rows of (row, piece, length): pieces into as few sequences of `capacity` as found."""
+    """Adds sequence_id and offset to rows of (row, piece, length): pieces into as few sequences of `capacity` as found.
+
+    Groups of about GROUP pieces are packed apart. The pieces of all bins that aren't full then form new groups, level by level, until
+    one group holds them all or more than half of them are left open again."""
     parts = X.cut(parts)
     n = parts.count()
     groups = max(1, -(-n // GROUP))
@@ -299,12 +301,16 @@ def pack(parts: DataFrame, capacity: int) -> DataFrame:
         if groups == 1:
             final.append(packed)
             break
-        last = packed.groupBy("grp").agg(F.max("bin").alias("last"))
-        marked = packed.join(last, "grp").withColumn("open", (F.col("bin") > F.col("last") - OPENED) & (F.col("fill") < capacity))
-        final.append(marked.where("not open").select(packed.columns))
-        groups = max(1, -(-groups // FAN))
-        slim = marked.where("open").select("row", "piece", "length", F.floor(F.col("grp") / FAN).cast("long").alias("grp"))
-        level += 1
+        final.append(packed.where(F.col("fill") >= capacity))
+        rest = packed.where(F.col("fill") < capacity)
+        left = rest.count()
+        if left == 0:
+            break
+        if 2 * left > n:
+            final.append(rest)
+            break
+        n, groups, level = left, max(1, -(-left // GROUP)), level + 1
+        slim = rest.select("row", "piece", "length", F.pmod(F.xxhash64("row", "piece", F.lit(level)), F.lit(groups)).alias("grp"))
     done = functools.reduce(DataFrame.unionByName, final)
     # levels, groups and bins as one number
     name = (F.col("level").cast("long") * (1 << 58) + F.col("grp") * (1 << 20) + F.col("bin")).alias("sequence_id")

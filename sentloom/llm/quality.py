@@ -82,6 +82,46 @@ class Quality:
         return 1 / (1 + np.exp(-np.clip(self.scale * self.margins(f, cuts) + self.shift, -60, 60)))
 
 
+def ratios(f: np.ndarray, cuts: np.ndarray, label: np.ndarray, rows: np.ndarray, bits: int, alpha: float = 1.0) -> np.ndarray:
+    """Log-count ratio of each hashed n-gram: in how many rows of class 1 against class 0, smoothed by alpha and over each class's sum."""
+    counts = [np.full(1 << bits, alpha), np.full(1 << bits, alpha)]
+    for x in rows:
+        counts[label[x]][f[cuts[x] : cuts[x + 1]]] += 1
+    return np.log(counts[1] / counts[1].sum()) - np.log(counts[0] / counts[0].sum())
+
+
+def dual_descent(f: np.ndarray, cuts: np.ndarray, label: np.ndarray, rows: np.ndarray, ratio: np.ndarray, c: float, epochs: int, seed: int = 5, least: float = 1e-4) -> tuple[np.ndarray, float, np.ndarray]:
+    """(weights of the scaled indicators, bias, dual variables) of the linear model with hinge loss: coordinates in random order, each to its optimum,
+    until a round's largest step is below `least`. A row's indicators are ratios over the root of its number of n-grams; the bias is
+    an indicator of every row. The smaller class 0 gets a larger c, by the classes' sizes."""
+    n = len(label)
+    y = np.where(label > 0, 1.0, -1.0)
+    upper = np.where(label > 0, c, c * max(1.0, (label[rows] > 0).sum() / max(1, (label[rows] == 0).sum())))
+    w, bias, dual = np.zeros(len(ratio)), 0.0, np.zeros(n)
+    size = np.sqrt(np.maximum(1, np.diff(cuts)))
+    square = np.zeros(n)
+    for x in rows.tolist():
+        v = ratio[f[cuts[x] : cuts[x + 1]]] / size[x]
+        square[x] = v @ v + 1
+    rnd = np.random.default_rng(seed)
+    for _ in range(epochs):
+        most = 0.0
+        for x in rnd.permutation(rows).tolist():
+            at = f[cuts[x] : cuts[x + 1]]
+            v = ratio[at] / size[x]
+            g = y[x] * (float(w[at] @ v) + bias) - 1
+            new = min(max(dual[x] - g / square[x], 0.0), upper[x])
+            step = (new - dual[x]) * y[x]
+            if step:
+                w[at] += step * v
+                bias += step
+                dual[x] = new
+                most = max(most, abs(step))
+        if most < least:
+            break
+    return w, bias, dual
+
+
 def fit(f: np.ndarray, cuts: np.ndarray, label: np.ndarray, bits: int = BITS, c: float = 1.0, epochs: int = 12, alpha: float = 1.0, seed: int = 5) -> Quality:
     """Fits ratios, the hinge-loss model and the logistic of its margins (on a fifth that the model for it hasn't seen)."""
     n = len(label)
@@ -90,34 +130,8 @@ def fit(f: np.ndarray, cuts: np.ndarray, label: np.ndarray, bits: int = BITS, c:
         return Quality(np.zeros(1 << bits), 0.0, 1.0, float(np.log(p / (1 - p))), bits)
 
     def descend(rows: np.ndarray) -> tuple[np.ndarray, float]:
-        counts = [np.full(1 << bits, alpha), np.full(1 << bits, alpha)]
-        for x in rows:
-            counts[label[x]][f[cuts[x] : cuts[x + 1]]] += 1
-        ratio = np.log(counts[1] / counts[1].sum()) - np.log(counts[0] / counts[0].sum())
-        y = np.where(label > 0, 1.0, -1.0)
-        upper = np.where(label > 0, c, c * max(1.0, (label[rows] > 0).sum() / max(1, (label[rows] == 0).sum())))
-        w, bias, dual = np.zeros(1 << bits), 0.0, np.zeros(n)
-        size = np.sqrt(np.maximum(1, np.diff(cuts)))
-        square = np.zeros(n)
-        for x in rows.tolist():
-            v = ratio[f[cuts[x] : cuts[x + 1]]] / size[x]
-            square[x] = v @ v + 1
-        rnd = np.random.default_rng(seed)
-        for _ in range(epochs):
-            most = 0.0
-            for x in rnd.permutation(rows).tolist():
-                at = f[cuts[x] : cuts[x + 1]]
-                v = ratio[at] / size[x]
-                g = y[x] * (float(w[at] @ v) + bias) - 1
-                new = min(max(dual[x] - g / square[x], 0.0), upper[x])
-                step = (new - dual[x]) * y[x]
-                if step:
-                    w[at] += step * v
-                    bias += step
-                    dual[x] = new
-                    most = max(most, abs(step))
-            if most < 1e-4:
-                break
+        ratio = ratios(f, cuts, label, rows, bits, alpha)
+        w, bias, _ = dual_descent(f, cuts, label, rows, ratio, c, epochs, seed)
         return w * ratio, bias
 
     order = np.random.default_rng(seed).permutation(n)

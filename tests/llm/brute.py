@@ -121,3 +121,56 @@ def unigram(rows, folds=10, add=0.1):
     c = Counter(x for (d, _), w in zip(rows, toks) if not held(d, folds) for x in w)
     n, v = sum(c.values()), len(c)
     return [(d, held(d, folds), len(w), sum(c[x] > 0 for x in w), n, sum(math.log10((c[x] + add) / (n + add * (v + 1))) for x in w)) for (d, _), w in zip(rows, toks)]
+
+
+def contaminated(rows, items, parts_of, threshold, overlap, k1=1.2, b=0.75):
+    """(doc_id, item_id, score, question overlap, answer overlap): every passage of every text against every item."""
+    split = lambda t: re.findall(rb"[0-9A-Za-z\x80-\xff]+", (t or "").encode().lower())
+    items = [(i, t) for i, t in items if t is not None]
+    bags = [Counter(split(t)) for _, t in items]
+    df = Counter(x for bag in bags for x in bag)
+    size = [sum(bag.values()) for bag in bags]
+    mean = max(1.0, sum(size) / len(size))
+    impact = []
+    for bag, n in zip(bags, size):
+        own = {x: math.log(1 + (len(items) - df[x] + 0.5) / (df[x] + 0.5)) * c * (k1 + 1) / (c + k1 * (1 - b + b * n / mean)) for x, c in bag.items()}
+        total = sum(own.values()) or 1.0
+        impact.append({x: v / total for x, v in own.items()})
+    grams = lambda w, n: {tuple(w[i : i + n]) for i in range(len(w) - n + 1)}
+    parts = []
+    for _, t in items:
+        q, a = map(split, parts_of(t))
+        parts.append([(grams(w, n), n) for w, n in ((q, min(3, max(1, len(q)))), (a, min(3, max(1, len(a)))))])
+    stride = max(64, max(size))
+    out = []
+    for d, t in rows:
+        w = split(t)
+        best = {}
+        for k in range(max(1, -(-len(w) // stride) - 1)):
+            passage = w[k * stride : (k + 2) * stride]
+            held = set(passage)
+            for i, own in enumerate(impact):
+                score = sum(v for x, v in own.items() if x in held)
+                if score < threshold - 1e-9 or not own:
+                    continue
+                share = [len(g & grams(passage, n)) / len(g) if g else 1.0 for g, n in parts[i]]
+                if min(share) >= overlap:
+                    best[i] = max(best.get(i, (0, 0, 0)), (score, *share))
+        out += [(d, items[i][0], *(round(x, 6) for x in found)) for i, found in best.items()]
+    return out
+
+
+def shards(rows, n, hash_of):
+    """(doc_id, crc32, shard) by one running sum of bytes over groups of equal texts in the order of their hashes; of each crc32 its group's place."""
+    groups = defaultdict(list)
+    for d, t in rows:
+        groups[t or ""].append(d)
+    total = sum(len(g) * (len(t.encode()) + 1) for t, g in groups.items())
+    out, place, start = [], {}, 0
+    for k, t in enumerate(sorted(groups, key=hash_of)):
+        size = len(groups[t]) * (len(t.encode()) + 1)
+        crc = zlib.crc32(t.encode())
+        place[crc] = k
+        out += [(d, crc, min(n - 1, (2 * start + size) * n // (2 * total))) for d in groups[t]]
+        start += size
+    return out, place

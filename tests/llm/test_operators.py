@@ -106,7 +106,7 @@ def test_several_indexes(spark, monkeypatch):
 def test_block_max_wand(items, passage, threshold):
     """The same items and scores as scoring everything."""
     texts = [" ".join(f"w{x}" for x in it) for it in items]
-    index = decontamination.Index.build(list(range(len(texts))), texts)
+    index = decontamination.Index.build(list(range(len(texts))), texts, 0.31)
     query = " ".join(f"w{x}" for x in passage)
     hashes = np.unique(decontamination._hashes([query])[0])
     known = np.flatnonzero(np.isin(index.terms, hashes))
@@ -122,6 +122,25 @@ def test_block_max_wand(items, passage, threshold):
     assert {h[1] for h in index.hits(data, offsets, 0, 1, threshold, 0.0)} == set(exp)
 
 
+@pytest.mark.parametrize("threshold,overlap", [(0.6, 0.6), (0.3, 0.2), (0.05, 0.0)])
+def test_contamination_is_that_of_plain_scoring(spark, rows, threshold, overlap):
+    """The whole query against scoring every passage by every item, items of shared and of rare words."""
+    import random
+
+    rnd = random.Random(11)
+    pool = sorted({w for _, t in rows for w in (t or "").split()})
+    items = [(i, " ".join(rnd.choice(pool) for _ in range(rnd.randint(2, 25))) + (".\nYes it is" if i % 2 else "")) for i in range(12)]
+    words = next(t for d, t in rows if d == 101).split()
+    items += [(20 + i, " ".join(words[at : at + 30])) for i, at in enumerate((0, 700, 5950))] + [(30, None), (31, ""), (32, "?!"), (33, items[0][1])]
+    some = [r for r in rows if r[0] is None or r[0] < 60 or r[0] > 95] + [(500 + i, f"{rows[i][1]} {t} {rows[i + 1][1]}") for i, (_, t) in enumerate(items) if t]
+    got = decontamination.contamination(spark.createDataFrame(some, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), threshold, overlap)
+    exp = brute.contaminated(some, items, decontamination.question_and_answer, threshold, overlap)
+    assert len(exp) > 15
+    assert values(got, "doc_id", "item_id", *(F.round(c, 6) for c in ("score", "question_overlap", "answer_overlap"))) == plain(exp)
+    with pytest.raises(ValueError):
+        decontamination.contamination(got, got, 0.0)
+
+
 # ---- 2: suffix arrays -----------------------------------------------------------------------------------------------
 
 
@@ -191,13 +210,11 @@ def test_local_search_beats_best_fit():
     assert len(found) == 3
 
 
-@pytest.mark.parametrize("group,opened", [(1 << 16, 256), (16, 2)])
-def test_packing(docs, rows, empty, monkeypatch, group, opened):
+@pytest.mark.parametrize("group", [1 << 16, 16])
+def test_packing(docs, rows, empty, monkeypatch, group):
     from tokenizers import Tokenizer
 
     monkeypatch.setattr(packing, "GROUP", group)
-    monkeypatch.setattr(packing, "OPENED", opened)
-    monkeypatch.setattr(packing, "FAN", 2)
     library = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
     out = packing.pack_documents(docs, P.path("byte_bpe_50k.json"), 128)
     got = out.collect()
@@ -392,6 +409,32 @@ def test_quality(spark, docs, empty):
     assert values(left, "doc_id") == values(quality.score(docs, model).where("score >= 0.3"), "doc_id")
 
 
+def test_ratios_and_the_dual_solution():
+    """Ratios against counts by hand; the model against the conditions that its optimum alone fulfils."""
+    rnd = np.random.default_rng(3)
+    label = (rnd.random(80) < 0.7).astype(np.int64)
+    sets = [np.flatnonzero(rnd.random(64) < np.where(np.arange(64) % 3 == y, 0.3, 0.15)) for y in label]
+    f, cuts = np.concatenate(sets), np.concatenate([[0], np.cumsum([len(x) for x in sets])])
+    rows = np.arange(80)
+    got = quality.ratios(f, cuts, label, rows, 6)
+    one = [Counter(x for s, y in zip(sets, label) if y == k for x in s.tolist()) for k in (0, 1)]
+    total = [sum(c.values()) + 64 for c in one]
+    assert np.allclose(got, [math.log((one[1][x] + 1) / total[1]) - math.log((one[0][x] + 1) / total[0]) for x in range(64)])
+    w, bias, dual = quality.dual_descent(f, cuts, label, rows, got, 1.0, 3000, least=1e-9)
+    x = np.zeros((80, 65))
+    for i, s in enumerate(sets):
+        x[i, s] = got[s] / math.sqrt(len(s))
+    x[:, 64] = 1
+    y = 2.0 * label - 1
+    upper = np.where(label > 0, 1.0, (label > 0).sum() / (label == 0).sum())
+    full = np.append(w, bias)
+    assert np.allclose(full, (dual * y) @ x)  # the primal solution is that of the dual variables
+    margin = y * (x @ full)
+    assert (margin[dual < 1e-9] > 1 - 1e-5).all() and (margin[dual > upper - 1e-9] < 1 + 1e-5).all()
+    inner = (dual > 1e-9) & (dual < upper - 1e-9)
+    assert inner.any() and np.allclose(margin[inner], 1, atol=1e-5)
+
+
 # ---- 9: language model ----------------------------------------------------------------------------------------------
 
 
@@ -524,6 +567,20 @@ def test_shards(docs, rows, empty, monkeypatch, each):
     assert sharding.byte_shards(empty, 4).count() == 0
 
 
+@pytest.mark.parametrize("each,shards", [(1 << 20, 4), (10, 3), (10, 16)])
+def test_shards_are_those_of_one_prefix_sum(docs, rows, monkeypatch, each, shards):
+    """Each row's shard, and the order of slots, against one running sum over all groups of equal texts."""
+    import xxhash
+
+    monkeypatch.setattr(sharding, "ROWS_EACH", each)
+    got = sharding.byte_shards(docs, shards).collect()
+    exp, place = brute.shards(rows, shards, lambda t: (xxhash.xxh64(t.encode(), seed=42).intdigest() + 2**63) % 2**64 - 2**63)
+    assert plain((r["doc_id"], r["text_crc32"], r["shard"]) for r in got) == plain(exp)
+    for s in range(shards):
+        order = [place[r["text_crc32"]] for r in sorted((r for r in got if r["shard"] == s), key=lambda r: r["slot"])]
+        assert order == sorted(order)
+
+
 def test_shards_are_near_equal(spark):
     docs = spark.range(5000).select(F.col("id").alias("doc_id"), F.repeat(F.col("id").cast("string"), (F.col("id") % 37).cast("int")).alias("text"))
     size = [r[0] for r in sharding.byte_shards(docs, 16).groupBy("shard").agg(F.sum("size")).select("sum(size)").collect()]
