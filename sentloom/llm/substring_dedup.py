@@ -1,9 +1,9 @@
 """Op 5. Repeated word windows by level-wise doubling.
 
-A window of `window` words that repeats has repeated parts. The first level looks at sequences of about half as many
-words, and of these only at the least-fingerprinted one in each window, which equal windows share: a sequence that one
-document alone has rules out every window around it. Windows whose sequence repeats go to the next level, of twice the
-words (less one where the length is odd), until `window` is reached or no candidates survive. Every level is one
+A window of `window` words that repeats has repeated parts. The first level looks at sequences of a few words, and of these
+only at the least-fingerprinted one in each window, which equal windows share: a sequence that one document alone has rules
+out every window around it. Windows whose sequence repeats go to the next level, of twice the words (or one less), until
+`window` is reached or no candidates survive: a bucket without candidates sends nothing more. Every level is one
 exchange of sorted fingerprints, each once a bucket; the answers are single bits.
 """
 
@@ -22,64 +22,63 @@ LOWEST = -(2**63)
 BUCKET_BYTES = X.BUCKET_BYTES
 
 
+FIRST = 4  # words of the first level at most
+
+
 def _levels(window: int) -> list[int]:
-    """Ascending lengths, each at most twice the one before; the first is about half the window."""
-    return [(window + 1) // 2, window] if window > 1 else [1]
+    """Ascending lengths, each at most twice the one before, from FIRST at most up to the window."""
+    out = [window]
+    while out[0] > FIRST:
+        out.insert(0, (out[0] + 1) // 2)
+    return out
 
 
 def _ids(table: pa.Table) -> np.ndarray:
     return table.column(X.DOC).fill_null(LOWEST).to_numpy()
 
 
-def _scan(table: pa.Table, window: int):
-    """Of each chunk of texts: its range, words, the windows within a text (first word), their fingerprints, and each window's least part's."""
-    data, offsets = column(table.column(X.TEXT))
-    half = _levels(window)[0]
-    for i, j in chunks(offsets):
-        w = Words(data, offsets, i, j)
-        full, ok = w.grams(window)
-        at = np.flatnonzero(ok)
-        parts, _ = w.grams(half)
-        least = minimizers(parts, window - half + 1)
-        yield i, j, w, at, full[at], parts[least[at]] if len(at) else parts[:0]
-
-
-def _least_of(keys: list[np.ndarray], docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sorted distinct keys with the least and the largest document that holds each."""
-    if not keys:
-        return np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
-    k, d = np.concatenate(keys), np.concatenate(docs)
-    order = np.argsort(k, kind="stable")
-    k, d = k[order], d[order]
-    cuts = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]])) if len(k) else np.empty(0, np.int64)
-    if not len(cuts):
-        return k, d, d
-    return k[cuts], np.minimum.reduceat(d, cuts), np.maximum.reduceat(d, cuts)
-
-
-def _first_level(table: pa.Table, window: int):
-    ids = _ids(table)
-    keys, docs = [], []
-    for i, _, w, at, _, part in _scan(table, window):
-        doc = ids[i + w.doc[at]]
-        new = np.ones(len(part), bool)
-        new[1:] = (part[1:] != part[:-1]) | (doc[1:] != doc[:-1])  # neighbouring windows mostly share their least part
-        keys.append(part[new])
-        docs.append(doc[new])
-    return _least_of(keys, docs)
-
-
-def _second_level(table: pa.Table, repeated: np.ndarray, known: np.ndarray, window: int):
-    """Like _first_level for whole windows, of those alone whose part repeats; also each chunk's windows."""
-    ids = _ids(table)
-    keys, docs, kept = [], [], []
-    live = known[repeated]
-    for i, j, w, at, full, part in _scan(table, window):
-        ok = _among(part, live)
-        keys.append(full[ok])
-        docs.append(ids[i + w.doc[at[ok]]])
-        kept.append((i, j, at[ok], full[ok]))
-    return *_least_of(keys, docs), kept
+class _Windows:
+    """A bucket's windows that may still repeat, level by level."""
+
+    def __init__(self, table: pa.Table, window: int):
+        ids, self.levels = _ids(table), _levels(window)
+        self.data, self.offsets = column(table.column(X.TEXT))
+        self.chunks, at, doc, parts, size = [], [], [], [[] for _ in self.levels], []
+        for i, j in chunks(self.offsets):
+            w = Words(self.data, self.offsets, i, j)
+            full, ok = w.grams(window)
+            here = np.flatnonzero(ok)
+            for k, length in enumerate(self.levels[:-1]):
+                grams, _ = w.grams(length)
+                parts[k].append(grams[minimizers(grams, window - length + 1)[here]] if len(here) else full[:0])
+            parts[-1].append(full[here])
+            at.append(here)
+            doc.append(ids[i + w.doc[here]])
+            size.append(len(here))
+            self.chunks.append((i, j))
+        cat = lambda xs, t: np.concatenate(xs) if xs else np.empty(0, t)
+        self.at, self.doc, self.parts = cat(at, np.int64), cat(doc, np.int64), [cat(x, np.uint64) for x in parts]
+        self.cuts = np.concatenate([[0], np.cumsum(size)]).astype(np.int64)
+        self.alive = np.arange(len(self.at))
+
+    def keys(self, level: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Sorted distinct sequences of the live windows with the least and the largest document that holds each."""
+        k, d = self.parts[level][self.alive], self.doc[self.alive]
+        if level < len(self.levels) - 1 and len(k):  # neighbouring windows mostly share their least part
+            new = np.ones(len(k), bool)
+            new[1:] = (k[1:] != k[:-1]) | (d[1:] != d[:-1])
+            k, d = k[new], d[new]
+        order = np.argsort(k, kind="stable")
+        k, d = k[order], d[order]
+        cuts = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]])) if len(k) else np.empty(0, np.int64)
+        return (k[cuts], np.minimum.reduceat(d, cuts), np.maximum.reduceat(d, cuts)) if len(cuts) else (k, d, d)
+
+    def narrowed(self, answers: list[np.ndarray]) -> _Windows:
+        """Without the windows whose sequence at a level doesn't repeat. answers: one bit for each of keys(), for the first levels."""
+        for level, repeated in enumerate(answers):
+            known = self.keys(level)[0]
+            self.alive = self.alive[_among(self.parts[level][self.alive], known[repeated])]
+        return self
 
 
 def _among(values: np.ndarray, sorted_keys: np.ndarray) -> np.ndarray:
@@ -103,9 +102,20 @@ def substring_dedup(docs: DataFrame, window: int = 13) -> DataFrame:
     rows = X.bucketed(docs, n)
     owners = n
 
-    def ask_parts(table: pa.Table) -> pa.Table:
-        keys, least, most = _first_level(table, window)
-        return X.asks(table.column(X.BUCKET)[0].as_py(), keys, owners, (least != most).astype(np.uint8))
+    last = len(_levels(window)) - 1
+
+    def answers_of(said: pa.Table, upto: int) -> list[np.ndarray]:
+        level = said.column("level").to_numpy() if said.num_rows else np.empty(0, np.int32)
+        return [X.bits(said.filter(pa.array(level == k))) for k in range(upto)]
+
+    def asked(level: int):
+        def ask(table: pa.Table, said: pa.Table | None = None) -> pa.Table:
+            if not table.num_rows:
+                return X.ASK_SCHEMA.empty_table()
+            keys, least, most = _Windows(table, window).narrowed(answers_of(said, level) if level else []).keys(level)
+            return X.asks(table.column(X.BUCKET)[0].as_py(), keys, owners, least if level == last else (least != most).astype(np.uint8))
+
+        return ask if level else lambda table: ask(table)
 
     def own_parts(table: pa.Table) -> pa.Table:
         keys, cuts, several = X.received(table)
@@ -114,13 +124,6 @@ def substring_dedup(docs: DataFrame, window: int = 13) -> DataFrame:
         repeated[which[np.frombuffer(b"".join(several), np.uint8) > 0]] = True
         return X.answers(table, [np.packbits(repeated[which[a:b]]).tobytes() for a, b in zip(cuts[:-1], cuts[1:])])
 
-    def ask_windows(table: pa.Table, part_answers: pa.Table) -> pa.Table:
-        if not table.num_rows:
-            return X.ASK_SCHEMA.empty_table()
-        known, _, _ = _first_level(table, window)
-        keys, least, _, _ = _second_level(table, X.bits(part_answers), known, window)
-        return X.asks(table.column(X.BUCKET)[0].as_py(), keys, owners, least)
-
     def own_windows(table: pa.Table) -> pa.Table:
         keys, cuts, mins = X.received(table)
         least = np.frombuffer(b"".join(mins), np.int64)
@@ -134,19 +137,18 @@ def substring_dedup(docs: DataFrame, window: int = 13) -> DataFrame:
     def remove(table: pa.Table, said: pa.Table) -> pa.Table:
         if not table.num_rows:
             return OUT.empty_table()
-        levels = said.column("level").to_numpy()
-        known, _, _ = _first_level(table, window)
-        keys, least, _, kept = _second_level(table, X.bits(said.filter(pa.array(levels == 1))), known, window)
-        earlier = X.bits(said.filter(pa.array(levels == 2)))
-        ids = _ids(table)
-        data, offsets = column(table.column(X.TEXT))
+        *parts, earlier = answers_of(said, last + 1)
+        live = _Windows(table, window).narrowed(parts)
+        keys, least, _ = live.keys(last)
+        full, ids = live.parts[last][live.alive], live.doc[live.alive]
+        where = np.searchsorted(keys, full)
+        at, gone = live.at[live.alive], (earlier[where] | (least[where] < ids) if len(full) else np.empty(0, bool))
+        cuts = np.searchsorted(live.alive, live.cuts)
         n_words, n_removed, texts = [], [], []
-        for i, j, at, full in kept:
-            w = Words(data, offsets, i, j)
-            where = np.searchsorted(keys, full)
-            gone = earlier[where] | (least[where] < ids[i + w.doc[at]]) if len(at) else np.empty(0, bool)
+        for (i, j), a, b in zip(live.chunks, cuts[:-1], cuts[1:]):
+            w = Words(live.data, live.offsets, i, j)
             marks = np.zeros(len(w) + window + 1, np.int32)
-            marks[at[gone]] += 1  # each place once
+            marks[at[a:b][gone[a:b]]] += 1  # each place once
             covered = np.cumsum(marks)
             covered[window:] -= covered[:-window].copy()
             keep = covered[: len(w)] == 0
@@ -158,9 +160,12 @@ def substring_dedup(docs: DataFrame, window: int = 13) -> DataFrame:
         out = pa.chunked_array(texts, pa.string()) if texts else pa.chunked_array([], pa.string())
         return pa.table([table.column(X.DOC).cast(pa.int64()), pa.array(np.concatenate(n_words), pa.int64()), pa.array(np.concatenate(n_removed), pa.int64()), out], schema=OUT)
 
-    parts = X.owned(rows.groupBy(X.BUCKET).applyInArrow(ask_parts, X.ASK), own_parts)
-    wide = X.owned(rows.groupBy(X.BUCKET).cogroup(parts.groupBy(X.BUCKET)).applyInArrow(ask_windows, X.ASK), own_windows)
-    said = parts.withColumn("level", F.lit(1)).unionByName(wide.withColumn("level", F.lit(2)))
+    said = None
+    for level in range(last + 1):
+        sent = rows.groupBy(X.BUCKET)
+        sent = (sent if said is None else sent.cogroup(said.groupBy(X.BUCKET))).applyInArrow(asked(level), X.ASK)
+        told = X.owned(sent, own_windows if level == last else own_parts).withColumn("level", F.lit(level))
+        said = told if said is None else said.unionByName(told)
     return rows.groupBy(X.BUCKET).cogroup(said.groupBy(X.BUCKET)).applyInArrow(remove, "doc_id long, n_words long, n_removed long, kept_text string")
 
 
