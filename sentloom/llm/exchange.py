@@ -50,11 +50,33 @@ def _kept(df: DataFrame) -> DataFrame:
     shared_dir(spark)
     old = _set(spark, CLEANUP, "true")
     try:
-        return df.select("*").checkpoint(eager=True)  # a plan takes the setting of the moment when it is made
+        kept = df.select("*").checkpoint(eager=True)  # a plan takes the setting of the moment when it is made
+        _made.append(_path(kept))
+        return kept
     finally:
         _set(spark, CLEANUP, old)
 
 
+_made: list[str] = []  # files of kept tables, in the order in which they were made
+
+
+def mark() -> int:
+    """A point in time for forget()."""
+    return len(_made)
+
+
+def forget(spark: SparkSession, since: int) -> None:
+    """Deletes the kept tables made since mark(): for a caller that has written what came of them."""
+    for path in _made[since:]:
+        _delete(spark, path)
+    del _made[since:]
+
+
+def _delete(spark: SparkSession, name: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(name)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """The same rows, kept in the shared folder, without lineage. Shuffle files that led there go as soon as the rows are kept.
 
@@ -64,13 +86,16 @@ def cut(df: DataFrame) -> DataFrame:
     return DataFrame(spark._jsparkSession.internalCreateDataFrame(kept.queryExecution().logical().rdd(), kept.schema(), False), spark)
 
 
+def _path(kept: DataFrame) -> str:
+    return kept._jdf.queryExecution().logical().rdd().getCheckpointFile().get()
+
+
 def release(kept: DataFrame) -> None:
     """Deletes the files of a table that cut() made and nothing reads any more."""
-    spark = kept.sparkSession
-    path = kept._jdf.queryExecution().logical().rdd().getCheckpointFile()
-    if path.isDefined():
-        path = spark._jvm.org.apache.hadoop.fs.Path(path.get())
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    path = _path(kept)
+    if path in _made:
+        _made.remove(path)
+    _delete(kept.sparkSession, path)
 
 
 def cut_by(df: DataFrame, key: str) -> DataFrame:
