@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from sentloom.llm import decontamination, exact_dedup, near_dedup, packing, quality
-from sentloom.llm.exchange import shared_dir
+from sentloom.llm.exchange import forget, mark, shared_dir
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,11 +45,17 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; each result is a Parquet table in the shared folder, read again as the next one's docs."""
+    """All stages over documents; each result is a Parquet table in the shared folder, read again as the next one's docs. What a stage leaves there
+    besides goes as soon as its result is written, and its result as soon as the next one's is."""
     home = os.path.join(shared_dir(spark), f"pipeline-{uuid.uuid4().hex}")
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    fs = spark._jvm.org.apache.hadoop.fs
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for k, (name, stage) in enumerate(STAGES):
-        out = f"{home}/{k}-{name}"
+        out, since = f"{home}/{k}-{name}", mark()
         stage(spark, docs, sf_dir).write.parquet(out)
-        docs = spark.read.parquet(out)
+        forget(spark, since)
+        if before:
+            path = fs.Path(before)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        docs, before = spark.read.parquet(out), out
     return docs
