@@ -11,13 +11,15 @@ from ..functions.arrays import EPS
 from .ordering import numbered
 
 DOMAIN = 2**31 - 1
+ONE_TASK = 1 << 18  # words that one task may number
 
 
 def build_vocabulary(corpus: DataFrame, most: int | None = None) -> DataFrame:
     """(word, count, index) of (idx, words): by descending count, then word. most: only so many of the first."""
     counts = corpus.select(F.explode("words").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("count"))
-    if most is None:
-        return numbered(counts, "index", F.desc("count"), F.col("word")).withColumn("index", F.col("index").cast("int"))
+    if most is None or most > ONE_TASK:
+        every = numbered(counts, "index", F.desc("count"), F.col("word")).withColumn("index", F.col("index").cast("int"))
+        return every if most is None else every.where(F.col("index") < most)
     counts = counts.orderBy(F.desc("count"), "word").limit(most)  # the window below then sees `most` rows
     return counts.withColumn("index", (F.row_number().over(W.orderBy(F.desc("count"), "word")) - 1).cast("int"))
 

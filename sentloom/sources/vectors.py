@@ -67,12 +67,15 @@ def word_vectors(vocab: DataFrame, ngrams: DataFrame | None = None, min_n: int =
 
 
 def read_vectors(spark: SparkSession, path: str, kind: str = "parquet") -> WordVectors:
-    """Pre-trained vectors from Parquet (as write_vectors leaves them, or a vocab table alone) or word2vec's text format."""
+    """Pre-trained vectors: kind "parquet" (as write_vectors leaves them, or a vocab table alone), "text" (word2vec's text format) or
+    "fasttext" (fastText's binary format, with sub-words)."""
     fs = spark._jvm.org.apache.hadoop.fs.Path(path)
     conf = spark._jsc.hadoopConfiguration()
     there = lambda p: spark._jvm.org.apache.hadoop.fs.Path(p).getFileSystem(conf).exists(spark._jvm.org.apache.hadoop.fs.Path(p))
     if not fs.getFileSystem(conf).exists(fs):
         raise ValueError(f"no vectors at {path}")
+    if kind == "fasttext":
+        return read_fasttext(spark, path)
     if kind == "text":
         from .corpus import lines
 
@@ -91,6 +94,85 @@ def read_vectors(spark: SparkSession, path: str, kind: str = "parquet") -> WordV
     return word_vectors(spark.read.parquet(f"{path}/vocab"), ngrams, int(params["min_n"]), int(params["max_n"]), int(params["bucket"]))
 
 
+MAGIC, VERSION = 793712314, 12
+ROWS_EACH = 1 << 14  # rows of a binary file that one task reads
+
+
+def _opened(path: str):
+    """A file that can be read from any place, on whatever file system its name says."""
+    from pyarrow import fs
+
+    system, name = fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
+    return system.open_input_file(name)
+
+
+def read_fasttext(spark: SparkSession, path: str) -> WordVectors:
+    """Vectors of words and n-gram buckets from a fastText model file (.bin, version 12, not quantised).
+
+    The driver reads the head with the dictionary; tasks read ranges of the matrix from the file, which all of them must reach. A
+    model without n-grams gives words alone.
+    """
+    import struct
+
+    import numpy as np
+    import pyarrow as pa
+
+    with _opened(path) as f:
+
+        def take(form: str) -> tuple:
+            raw = f.read(struct.calcsize("<" + form))
+            if len(raw) < struct.calcsize("<" + form):
+                raise RuntimeError(f"{path} ends too early")
+            return struct.unpack("<" + form, raw)
+
+        if take("ii") != (MAGIC, VERSION):
+            raise RuntimeError(f"{path} is no fastText model of version {VERSION}")
+        dim, *_, bucket, min_n, max_n, _, _ = take("12id")
+        size, words, _, _, pruned = take("iiiqq")
+        names, counts, rest = [], [], b""
+        while len(names) < size:
+            end = rest.find(b"\0")
+            while end < 0 or len(rest) < end + 10:
+                more = f.read(1 << 20)
+                if not more:
+                    raise RuntimeError(f"{path} ends in its dictionary")
+                rest, end = rest + more, -1
+                end = rest.find(b"\0")
+            count, kind = struct.unpack_from("<qb", rest, end + 1)
+            if kind == 0:
+                names.append(rest[:end].decode("utf-8", "replace"))
+                counts.append(count)
+            else:  # labels come after the words
+                size -= 1
+            rest = rest[end + 10 :]
+        at = f.tell() - len(rest) + 8 * max(0, pruned)
+        f.seek(at)
+        (quantised,) = take("b")
+        rows, width = take("qq")
+        begin = f.tell()
+    if quantised or pruned > 0 or width != dim or rows < words:
+        raise RuntimeError(f"{path} is quantised or pruned, or its matrix doesn't fit its dictionary")
+
+    def read(batches):
+        with _opened(path) as f:
+            for batch in batches:
+                for first in batch.column(0).to_pylist():
+                    n = min(ROWS_EACH, rows - first)
+                    f.seek(begin + 4 * dim * first)
+                    flat = np.frombuffer(f.read(4 * dim * n), "<f4")
+                    vectors = pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * dim, pa.int32()), pa.array(flat))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.arange(first, first + n)), vectors], names=["row", "vector"])
+
+    pieces = -(-rows // ROWS_EACH)
+    matrix = spark.range(0, rows, ROWS_EACH, numPartitions=max(1, pieces)).mapInArrow(read, "row long, vector array<float>")
+    known = spark.createDataFrame(pa.table({"index": pa.array(range(len(names)), pa.int32()), "word": names, "count": pa.array(counts, pa.int64())}))
+    vocab = known.join(matrix.where(F.col("row") < words).withColumnRenamed("row", "index"), "index")
+    if not max_n or not bucket:
+        return word_vectors(vocab)
+    ngrams = matrix.where(F.col("row") >= words).select((F.col("row") - words).alias("bucket_id"), "vector")
+    return word_vectors(vocab, ngrams, min_n, max_n, bucket)
+
+
 def write_vectors(wv: WordVectors, path: str, again: bool = False) -> None:
     """Vectors as Parquet, once: what is there stays unless `again`."""
     spark = wv.vocab.sparkSession

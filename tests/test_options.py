@@ -140,3 +140,32 @@ def test_last_line_of_one(spark):
     assert line_at(one, -1) == "only" == line_at(one, 0)
     with pytest.raises(IndexError):
         line_at(one.where("false"), -1)
+
+
+def test_fasttext_files(spark, tmp_path, monkeypatch):
+    import struct
+
+    from sentloom.sources import vectors
+
+    monkeypatch.setattr(vectors, "ROWS_EACH", 4)
+    rng, names, bucket = np.random.default_rng(2), ["the", "Überraschung", "cat"], 8
+    matrix = rng.random((len(names) + bucket, 3)).astype("<f4")
+
+    def model(version=12, quantised=0, labels=(), max_n=6):
+        entries = b"".join(w.encode() + b"\0" + struct.pack("<qb", 9 - i, kind) for kind, some in ((0, names), (1, labels)) for i, w in enumerate(some))
+        head = struct.pack("<ii", 793712314, version) + struct.pack("<12id", 3, 5, 5, 1, 5, 1, 2, 1, bucket, 3, max_n, 100, 1e-4)
+        return head + struct.pack("<iiiqq", len(names) + len(labels), len(names), len(labels), 99, -1) + entries + struct.pack("<bqq", quantised, *matrix.shape) + matrix.tobytes() + b"rest"
+
+    path = str(tmp_path / "m.bin")
+    for labels in ((), ("__label__a",)):
+        (tmp_path / "m.bin").write_bytes(model(labels=labels))
+        wv = vectors.read_vectors(spark, path, "fasttext")
+        assert (wv.size, wv.words, wv.bucket, wv.min_n, wv.max_n) == (3, 3, 8, 3, 6)
+        assert [(r["word"], r["count"], r["vector"]) for r in wv.vocab.orderBy("index").collect()] == [(w, 9 - i, matrix[i].tolist()) for i, w in enumerate(names)]
+        assert [r["vector"] for r in wv.ngrams.orderBy("bucket_id").collect()] == matrix[3:].tolist()
+    (tmp_path / "m.bin").write_bytes(model(max_n=0))
+    assert not vectors.read_vectors(spark, path, "fasttext").subword
+    for bad in (model(version=11), model(quantised=1), model()[:80]):
+        (tmp_path / "m.bin").write_bytes(bad)
+        with pytest.raises(RuntimeError):
+            vectors.read_vectors(spark, path, "fasttext")
