@@ -305,14 +305,6 @@ def similar_by_sentence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(oracle.BATCH)
 def batch_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Q12: the ten nearest rows of every vector with a label below 3."""
-    v = vectors(spark, sf_dir)
-    out = similarity.batch_top_k(v.where("label < 3").select(F.col("idx").alias("qid"), "vector"), v.select("idx", "vector"), 10)
-    return out.select("qid", "idx", (F.round("similarity", 6) + 0.0).alias("similarity"), F.col("rank").cast("long").alias("rank"))
-
-
-@query(oracle.BATCH_FIFTIETH)
-def batch_topk_fiftieth(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Q12: the ten nearest rows, among all, of every vector whose index is divisible by 50."""
     v = vectors(spark, sf_dir)
     out = similarity.batch_top_k(v.where("idx % 50 = 0").select(F.col("idx").alias("qid"), "vector"), v.select("idx", "vector"), 10)

@@ -95,10 +95,9 @@ WITH_TEXT = similar({0: 1}, "idx <> 0", 10).replace("SELECT best.idx, ", "SELECT
 BY_WORD = _nearest("SELECT v FROM wv WHERE r = 0", "TRUE", 10, ctes=_VOCAB + ", ")
 BY_SENTENCE = _nearest("SELECT list(x ORDER BY d) AS v FROM (SELECT d, avg(x) AS x FROM (SELECT generate_subscripts(v, 1) AS d, unnest(v) AS x FROM wv WHERE r < 3) GROUP BY d)", "TRUE", 10, ctes=_VOCAB + ", ")
 BATCH = f"""
-    WITH {_SV}, scored AS (SELECT q.idx AS qid, sv.idx, list_cosine_similarity(q.v, sv.v) AS s FROM sv q, sv WHERE q.label < 3),
+    WITH {_SV}, scored AS (SELECT q.idx AS qid, sv.idx, list_cosine_similarity(q.v, sv.v) AS s FROM sv q, sv WHERE q.idx % 50 = 0),
     placed AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY s DESC, idx) AS rank FROM scored)
     SELECT qid, idx, round(s, 6) + 0.0 AS similarity, rank::BIGINT AS rank FROM placed WHERE rank <= 10"""
-BATCH_FIFTIETH = BATCH.replace("q.label < 3", "q.idx % 50 = 0")
 UNIT = f"WITH {_SV} SELECT idx, (generate_subscripts(v, 1) - 1)::BIGINT AS dim, round(unnest({_UNIT}), 6) + 0.0 AS value FROM sv"
 LOOKUP = f"""
     WITH {_SV}, asked AS (SELECT * FROM (VALUES (0, 7), (1, 2), (2, 11)) t(position, idx))
