@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from . import exchange as X
 from .exact_dedup import attach
-from .kernel import MUL, U, Words, chunks, column, mix
+from .kernel import MUL, U, Words, chunks, column, mix, trim
 
 BANDS, ROWS = 40, 5
 LOWEST = -(2**63)
@@ -82,6 +82,7 @@ def _sketch(width: int, bands: int, rows: int):
                 both = [np.add.reduceat(np.append(x, U(0)), cuts[:-1]) for x in (mix(h), mix(h ^ U(0xD6E8FEB86659FD93)))]
                 both = [np.where(size > 0, x, U(0)).astype(np.int64) for x in both]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), pa.array(size, pa.int64()), pa.array(both[0]), pa.array(both[1]), pa.ListArray.from_arrays(pa.array(np.arange(len(code) + 1) * bands, pa.int32()), pa.array(code.view(np.int64).ravel()))], schema=CLASS)
+        trim()
 
     return run
 
@@ -138,6 +139,7 @@ def _verify(width: int, percent: int):
         order = np.argsort(names, kind="stable")
         place = order[np.searchsorted(names[order], table.column("a").to_numpy())]
         ok = pa.array(alike(_sets(hubs, width), _sets(table, width), place, np.arange(table.num_rows), percent))
+        trim()
         return pa.table([table.column("a").filter(ok), table.column("b").filter(ok)], schema=schema)
 
     return run

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import exchange as X
-from .kernel import BYTE, prefix, span
+from .kernel import BYTE, prefix, span, trim
 
 # ---- tokens -----------------------------------------------------------------------------------------------------
 
@@ -61,7 +61,7 @@ class Tokens:
     """Byte-level BPE ids of texts, as the tokenizers library gives them. Its merges never cross the pieces into which its
     pattern splits a text, so distinct pieces are encoded once and remembered by fingerprint."""
 
-    def __init__(self, path: str, remember: int = 1 << 21):
+    def __init__(self, path: str, remember: int = 1 << 18):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
@@ -187,6 +187,7 @@ def pieces(docs: DataFrame, vocabulary: str, longest: int, end_id: int = 0, with
                         out.append((doc, name, k, begin, stop - begin, zlib.crc32(own)) + ((own,) if with_ids else ()))
                         begin, stop, k = stop, stop + longest, k + 1
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
+        trim()
 
     return X.corpus(docs).mapInArrow(run, names)
 
