@@ -68,12 +68,13 @@ class Embedding(ABC):
         wv = self.prepared(scan)
         validation.warn_memory(validation.estimate_memory(scan.max_index, wv.words, wv.size, wv.bucket if wv.subword else None)["Total"], corpus.sparkSession)
         raw = averages(corpus, wv, self.initial, dense=True, most_words=self.max_words, most_ngrams=self.max_ngrams).persist()
+        kept = raw
         sentences = scan.total_sentences - scan.empty_sentences
         words = scan.total_words if wv.subword else int(raw.agg(F.sum("known")).first()[0] or 0)
         validation.check_result(sentences, words)
         raw = raw.select("idx", "vector")
         parts = self.components_of(raw, scan.max_index)
-        return EmbeddingModel(type(self).__name__, wv, parts, remove_components(raw, parts) if parts else raw, scan, (sentences, words), self.max_words, self.max_ngrams)
+        return EmbeddingModel(type(self).__name__, wv, parts, remove_components(raw, parts) if parts else raw, scan, (sentences, words), self.max_words, self.max_ngrams, kept)
 
 
 @dataclass(frozen=True)
@@ -139,6 +140,12 @@ class EmbeddingModel:
     summary: tuple[int, int]
     max_words: int | None = None
     max_ngrams: int = MAX_NGRAMS
+    kept: DataFrame | None = None  # what fit() holds in the executors' storage
+
+    def unpersist(self) -> None:
+        """Frees what fit() keeps in the executors' storage; vectors that are asked for later are computed anew."""
+        if self.kept is not None:
+            self.kept.unpersist()
 
     @property
     def sv(self) -> SentenceVectors:

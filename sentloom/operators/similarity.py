@@ -54,7 +54,7 @@ class SentenceVectors:
         return out
 
     def normalised(self) -> DataFrame:
-        return normalised(self.vectors).persist()
+        return normalised(self.vectors)
 
     def similarity(self, a: int, b: int) -> float:
         x, y = self.get_vector(a), self.get_vector(b)

@@ -100,6 +100,14 @@ def test_components_of_a_sample(spark):
     assert SIFEmbedding(some.wv).sample(10**12) is None
 
 
+def test_a_model_gives_its_storage_back(spark, corpus, subwords):
+    model = AverageEmbedding(subwords).fit(corpus)
+    exp = rows(model.vectors)
+    assert model.kept.is_cached
+    model.unpersist()
+    assert not model.kept.is_cached and same(rows(model.vectors), exp)
+
+
 def test_memory_is_warned_of(spark):
     with pytest.warns(UserWarning, match="GB"):
         validation.warn_memory(1 << 60, spark)
