@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import exchange as X
-from .kernel import Words, chunks, column, minimizers
+from .kernel import Words, chunks, column, minimizers, trim
 
 OUT = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_text", pa.string())])
 LOWEST = -(2**63)
@@ -38,33 +38,34 @@ def _ids(table: pa.Table) -> np.ndarray:
 
 
 class _Windows:
-    """A bucket's windows that may still repeat, level by level."""
+    """A bucket's windows that may still repeat, level by level, with their sequences at the levels up to `upto`."""
 
-    def __init__(self, table: pa.Table, window: int):
+    def __init__(self, table: pa.Table, window: int, upto: int):
         ids, self.levels = _ids(table), _levels(window)
         self.data, self.offsets = column(table.column(X.TEXT))
-        self.chunks, at, doc, parts, size = [], [], [], [[] for _ in self.levels], []
+        self.chunks, at, doc, parts, size = [], [], [], [[] for _ in range(upto + 1)], []
         for i, j in chunks(self.offsets):
             w = Words(self.data, self.offsets, i, j)
             full, ok = w.grams(window)
             here = np.flatnonzero(ok)
-            for k, length in enumerate(self.levels[:-1]):
-                grams, _ = w.grams(length)
-                parts[k].append(grams[minimizers(grams, window - length + 1)[here]] if len(here) else full[:0])
-            parts[-1].append(full[here])
-            at.append(here)
+            for k, length in enumerate(self.levels[: upto + 1]):
+                if length == window:
+                    parts[k].append(full[here])
+                else:
+                    grams, _ = w.grams(length)
+                    parts[k].append(grams[minimizers(grams, window - length + 1)[here]] if len(here) else full[:0])
+            at.append(here.astype(np.int32))
             doc.append(ids[i + w.doc[here]])
             size.append(len(here))
             self.chunks.append((i, j))
         cat = lambda xs, t: np.concatenate(xs) if xs else np.empty(0, t)
-        self.at, self.doc, self.parts = cat(at, np.int64), cat(doc, np.int64), [cat(x, np.uint64) for x in parts]
-        self.cuts = np.concatenate([[0], np.cumsum(size)]).astype(np.int64)
-        self.alive = np.arange(len(self.at))
+        self.at, self.doc, self.parts = cat(at, np.int32), cat(doc, np.int64), [cat(x, np.uint64) for x in parts]
+        self.cuts = np.concatenate([[0], np.cumsum(size)]).astype(np.int64)  # of the chunks
 
     def keys(self, level: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Sorted distinct sequences of the live windows with the least and the largest document that holds each."""
-        k, d = self.parts[level][self.alive], self.doc[self.alive]
-        if level < len(self.levels) - 1 and len(k):  # neighbouring windows mostly share their least part
+        """Sorted distinct sequences of the windows left with the least and the largest document that holds each."""
+        k, d = self.parts[level], self.doc
+        if self.levels[level] < self.levels[-1] and len(k):  # neighbouring windows mostly share their least part
             new = np.ones(len(k), bool)
             new[1:] = (k[1:] != k[:-1]) | (d[1:] != d[:-1])
             k, d = k[new], d[new]
@@ -76,8 +77,10 @@ class _Windows:
     def narrowed(self, answers: list[np.ndarray]) -> _Windows:
         """Without the windows whose sequence at a level doesn't repeat. answers: one bit for each of keys(), for the first levels."""
         for level, repeated in enumerate(answers):
-            known = self.keys(level)[0]
-            self.alive = self.alive[_among(self.parts[level][self.alive], known[repeated])]
+            ok = _among(self.parts[level], self.keys(level)[0][repeated])
+            self.at, self.doc = self.at[ok], self.doc[ok]
+            self.parts = [x[ok] if k > level else x[:0] for k, x in enumerate(self.parts)]
+            self.cuts = np.concatenate([[0], np.cumsum(ok)])[self.cuts]
         return self
 
 
@@ -112,7 +115,8 @@ def substring_dedup(docs: DataFrame, window: int = 13) -> DataFrame:
         def ask(table: pa.Table, said: pa.Table | None = None) -> pa.Table:
             if not table.num_rows:
                 return X.ASK_SCHEMA.empty_table()
-            keys, least, most = _Windows(table, window).narrowed(answers_of(said, level) if level else []).keys(level)
+            keys, least, most = _Windows(table, window, level).narrowed(answers_of(said, level) if level else []).keys(level)
+            trim()
             return X.asks(table.column(X.BUCKET)[0].as_py(), keys, owners, least if level == last else (least != most).astype(np.uint8))
 
         return ask if level else lambda table: ask(table)
@@ -138,12 +142,10 @@ def substring_dedup(docs: DataFrame, window: int = 13) -> DataFrame:
         if not table.num_rows:
             return OUT.empty_table()
         *parts, earlier = answers_of(said, last + 1)
-        live = _Windows(table, window).narrowed(parts)
+        live = _Windows(table, window, last).narrowed(parts)
         keys, least, _ = live.keys(last)
-        full, ids = live.parts[last][live.alive], live.doc[live.alive]
-        where = np.searchsorted(keys, full)
-        at, gone = live.at[live.alive], (earlier[where] | (least[where] < ids) if len(full) else np.empty(0, bool))
-        cuts = np.searchsorted(live.alive, live.cuts)
+        where = np.searchsorted(keys, live.parts[last])
+        at, gone, cuts = live.at, (earlier[where] | (least[where] < live.doc) if len(where) else np.empty(0, bool)), live.cuts
         n_words, n_removed, texts = [], [], []
         for (i, j), a, b in zip(live.chunks, cuts[:-1], cuts[1:]):
             w = Words(live.data, live.offsets, i, j)
@@ -158,6 +160,7 @@ def substring_dedup(docs: DataFrame, window: int = 13) -> DataFrame:
             n_removed.append(total - left)
             texts.append(_joined(w, keep, left))
         out = pa.chunked_array(texts, pa.string()) if texts else pa.chunked_array([], pa.string())
+        trim()
         return pa.table([table.column(X.DOC).cast(pa.int64()), pa.array(np.concatenate(n_words), pa.int64()), pa.array(np.concatenate(n_removed), pa.int64()), out], schema=OUT)
 
     said = None
