@@ -8,6 +8,8 @@ shuffled rest is hot.
 
 from __future__ import annotations
 
+from weakref import WeakKeyDictionary
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -16,6 +18,7 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
+from ..functions.mapped import mapped, packed, trim
 from ..functions.subword import MAX_NGRAMS, buckets, hashed_ngrams
 from ..sources.vectors import BROADCAST_BYTES, WordVectors
 
@@ -32,29 +35,22 @@ def spread(df: DataFrame) -> DataFrame:
 
 
 class _Table:
-    """Words and their weighted vectors in one process; with sub-words also the n-grams' vectors."""
-
-    def __init__(self, words: pa.Array, vectors: np.ndarray, weights: np.ndarray):
-        self.words, self.vectors = words, vectors * weights[:, None]
-        self.top = float(weights.max(initial=0.0))
-        self.grams: np.ndarray | None = None
-
-    @staticmethod
-    def of(wv: WordVectors, most_ngrams: int = MAX_NGRAMS) -> _Table:
-        got = wv.vocab.select("word", "vector", F.col("weight").cast("double")).toArrow()
-        out = _Table(got.column("word").combine_chunks().cast(pa.string()), _matrix(got.column("vector"), wv.size), got.column("weight").to_numpy())
-        if wv.subword:
-            got = wv.ngrams.select(F.col("bucket_id").cast("long"), "vector").toArrow()
-            ids = got.column(0).to_numpy()
-            out.grams, out.have = np.zeros((wv.bucket, wv.size)), np.zeros(wv.bucket, bool)
-            out.grams[ids], out.have[ids] = _matrix(got.column(1), wv.size), True
-            out.shape = (wv.bucket, wv.min_n, wv.max_n, most_ngrams)
-        return out
+    """Words, their vectors as they are stored and their weights; with sub-words also the n-grams' vectors. The arrays may be mapped from files."""
+
+    def __init__(self, parts: dict[str, np.ndarray], grams: dict[str, np.ndarray] | None = None, shape: tuple[int, int, int, int] | None = None):
+        n = len(parts["weights"])
+        valid = pa.py_buffer(parts["valid"]) if "valid" in parts else None
+        self.words = pa.StringArray.from_buffers(n, pa.py_buffer(parts["offsets"]), pa.py_buffer(parts["text"]), valid)
+        self.vectors, self.weights = parts["vectors"], parts["weights"]
+        self.size = self.vectors.shape[1]
+        self.top = float(self.weights.max(initial=0.0))
+        self.grams, self.shape = None if grams is None else grams["vectors"], shape  # shape: buckets, least and most characters, most n-grams
+        self.step = STEP
 
     def made(self, words: list[str]) -> np.ndarray:
         """Vectors of words outside the vocabulary: the largest weight times the mean of their n-grams' vectors; zero without n-grams."""
         of, bucket = hashed_ngrams(words, *self.shape)
-        out = np.zeros((len(words), self.vectors.shape[1]))
+        out = np.zeros((len(words), self.size))
         size = np.bincount(of, minlength=len(words))
         begin = np.cumsum(size) - size
         for a in range(0, len(words), 1024):
@@ -62,46 +58,107 @@ class _Table:
             lo, hi = int(begin[a]), int(begin[b - 1] + size[b - 1])
             some = np.flatnonzero(size[a:b])
             if hi > lo:
-                out[a + some] = np.add.reduceat(self.grams[bucket[lo:hi]], begin[a + some] - lo)
+                out[a + some] = np.add.reduceat(self.grams[bucket[lo:hi]].astype(np.float64), begin[a + some] - lo)
         return out * (self.top / np.maximum(size, 1))[:, None]
 
+    def weighted(self, place: np.ndarray) -> np.ndarray:
+        return self.vectors[place].astype(np.float64) * self.weights[place][:, None]
+
+    def of_tokens(self, place: np.ndarray, words: pa.Array | None) -> np.ndarray:
+        """Weighted vectors of tokens: of those at a place of the vocabulary, and of those at -1 that are made from their n-grams."""
+        lost = place < 0
+        if words is None or not lost.any():
+            return self.weighted(place)
+        coded = words.filter(pa.array(lost)).fill_null("").dictionary_encode()
+        out = np.empty((len(place), self.size))
+        out[~lost] = self.weighted(place[~lost])
+        out[lost] = self.made(coded.dictionary.to_pylist())[coded.indices.to_numpy()]
+        return out
+
     def sums(self, words: pa.ListArray, most: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Of each list of words the sum of the weighted vectors of those that are known, and how many are; with sub-words all are. most: of so
         many of the first ones alone."""
         cuts = words.offsets.to_numpy()
-        every, vectors = words.flatten(), self.vectors
-        flat = pc.index_in(every, value_set=self.words)
-        if self.grams is not None and flat.null_count:
-            coded = every.filter(flat.is_null()).fill_null("").dictionary_encode()
-            place = flat.fill_null(0).to_numpy(zero_copy_only=False).copy()
-            place[flat.is_null().to_numpy(zero_copy_only=False)] = len(vectors) + coded.indices.to_numpy()
-            vectors = np.concatenate([vectors, self.made(coded.dictionary.to_pylist())])
-            cuts = cuts - cuts[0]
-        else:
-            known = flat.is_valid().to_numpy(zero_copy_only=False)
-            before = np.concatenate([[0], np.cumsum(known)])
-            cuts = before[cuts - cuts[0]]
-            place = flat.drop_null().to_numpy()
+        cuts = cuts - cuts[0]
+        every = words.flatten()
+        place = pc.index_in(every, value_set=self.words.cast(every.type)).fill_null(-1).to_numpy()
+        if self.grams is None:
+            known = place >= 0
+            cuts = np.concatenate([[0], np.cumsum(known)])[cuts]
+            place, every = place[known], None
         if most is not None:
-            place = place[np.arange(len(place)) - np.repeat(cuts[:-1], np.diff(cuts)) < most]
+            keep = np.arange(len(place)) - np.repeat(cuts[:-1], np.diff(cuts)) < most
+            place, every = place[keep], None if every is None else every.filter(pa.array(keep))
             cuts = np.concatenate([[0], np.cumsum(np.minimum(np.diff(cuts), most))])
-        out = np.zeros((len(cuts) - 1, vectors.shape[1]))
+        some = lambda x, y: self.of_tokens(place[x:y], None if every is None else every.slice(x, y - x))
+        out = np.zeros((len(cuts) - 1, self.size))
         count = np.diff(cuts)
         a = 0
-        while a < len(count):  # as many sentences as have STEP tokens; a long one in pieces
-            b = max(a + 1, int(np.searchsorted(cuts, cuts[a] + STEP, "right")) - 1)
-            if cuts[b] - cuts[a] > 2 * STEP:
-                for x in range(cuts[a], cuts[b], STEP):
-                    out[a] += vectors[place[x : min(x + STEP, cuts[b])]].sum(axis=0)
+        while a < len(count):  # as many sentences as have `step` tokens; a long one in pieces
+            b = max(a + 1, int(np.searchsorted(cuts, cuts[a] + self.step, "right")) - 1)
+            if cuts[b] - cuts[a] > 2 * self.step:
+                for x in range(cuts[a], cuts[b], self.step):
+                    out[a] += some(x, min(x + self.step, cuts[b])).sum(axis=0)
             elif cuts[b] > cuts[a]:
                 full = np.flatnonzero(count[a:b]) + a
-                out[full] = np.add.reduceat(vectors[place[cuts[a] : cuts[b]]], cuts[full] - cuts[a])
+                out[full] = np.add.reduceat(some(cuts[a], cuts[b]), cuts[full] - cuts[a])
             a = b
         return out, count
 
 
+class _Tables:
+    """Broadcasts that a _Table is read from: mapped in a worker, so that an executor's workers share the pages."""
+
+    def __init__(self, wv: WordVectors, most_ngrams: int = MAX_NGRAMS):
+        sc = wv.vocab.sparkSession.sparkContext
+        self.words = _once(wv.vocab, sc, ("words", wv.size), lambda: _words_of(wv))
+        self.grams = self.shape = None
+        if wv.subword:
+            self.grams = _once(wv.ngrams, sc, ("grams", wv.size, wv.bucket), lambda: _grams_of(wv))
+            self.shape = (wv.bucket, wv.min_n, wv.max_n, most_ngrams)
+
+    def table(self) -> _Table:
+        return _Table(mapped(self.words), None if self.grams is None else mapped(self.grams), self.shape)
+
+
+_sent: WeakKeyDictionary[DataFrame, dict] = WeakKeyDictionary()
+
+
+def _once(table: DataFrame, sc, key: tuple, parts):
+    """The broadcast of what parts() makes from a table; one that was sent is used again while the table is."""
+    have = _sent.setdefault(table, {})
+    if key not in have:
+        have[key] = sc.broadcast(packed(parts()))
+    return have[key]
+
+
+def _words_of(wv: WordVectors) -> dict[str, np.ndarray]:
+    got = wv.vocab.select(F.col("word").cast("string"), "vector", F.col("weight").cast("double")).toArrow()
+    words = pa.concat_arrays([c.cast(pa.string()) for c in got.column("word").chunks] or [pa.array([], pa.string())])
+    if words.offset:
+        words = words.take(pa.array(np.arange(len(words))))
+    valid, offsets, text = words.buffers()
+    offsets = np.frombuffer(offsets, np.int32, len(words) + 1) if len(words) else np.zeros(1, np.int32)
+    out = {"vectors": _matrix(got.column("vector"), wv.size), "weights": got.column("weight").to_numpy(), "offsets": offsets, "text": np.frombuffer(text, np.uint8) if text is not None else np.zeros(0, np.uint8)}
+    return out | ({"valid": np.frombuffer(valid, np.uint8)} if words.null_count else {})
+
+
+def _grams_of(wv: WordVectors) -> dict[str, np.ndarray]:
+    got = wv.ngrams.select(F.col("bucket_id").cast("long"), "vector").toArrow()
+    rows = _matrix(got.column(1), wv.size)
+    out = np.zeros((wv.bucket, wv.size), rows.dtype)
+    out[got.column(0).to_numpy()] = rows
+    return {"vectors": out}
+
+
 def _matrix(column: pa.ChunkedArray, size: int) -> np.ndarray:
-    return column.combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, size)
+    """Rows in single precision if they are stored so."""
+    kind = np.float32 if pa.types.is_float32(column.type.value_type) else np.float64
+    out, at = np.empty((len(column), size), kind), 0
+    for chunk in column.chunks:
+        out[at : at + len(chunk)] = chunk.flatten().to_numpy(zero_copy_only=False).reshape(-1, size)
+        at += len(chunk)
+    return out
 
 
 def _lists(column: pa.Array) -> pa.ListArray:
@@ -133,16 +190,18 @@ def sentence_sums(corpus: DataFrame, wv: WordVectors, keep: list[str], most_word
 
 
 def _sums_here(corpus: DataFrame, wv: WordVectors, keep: list[str], most_words: int | None, most_ngrams: int) -> DataFrame:
-    shared = corpus.sparkSession.sparkContext.broadcast(_Table.of(wv, most_ngrams))
+    shared = _Tables(wv, most_ngrams)
     source = corpus.select(*keep, "words")
     out = source.select(*keep, F.lit(None).cast("array<double>").alias("sums"), F.lit(None).cast("long").alias("known")).schema
 
     def run(batches):
-        table = shared.value
+        table = None
         for batch in batches:
+            table = table or shared.table()
             sums, known = table.sums(_lists(batch.column(len(keep))), most_words)
             columns = [batch.column(i) for i in range(len(keep))]
             yield pa.RecordBatch.from_arrays([*columns, _array(sums), pa.array(known, pa.int64())], names=[*keep, "sums", "known"])
+            trim()
 
     return spread(source).mapInArrow(run, out)
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Bytes of vectors up to which they go to every task; above, tokens are joined to them by shuffle.
+#: Bytes of a table of vectors up to which it goes to every task; above, tokens are joined to it by shuffle.
 BROADCAST_BYTES = 256 << 20
 
 
@@ -31,7 +31,9 @@ class WordVectors:
 
     @property
     def bytes(self) -> int:
-        return (self.words + self.bucket * self.subword) * (8 * self.size + 64)
+        """Of the larger of the tables of words and n-grams, as tasks hold them: numbers as they are stored, and 64 bytes a word besides."""
+        row = lambda df: self.size * (4 if dict(df.dtypes)["vector"] == "array<float>" else 8)
+        return max(self.words * (row(self.vocab) + 64), self.bucket * row(self.ngrams) if self.subword else 0)
 
     def with_vocab(self, vocab: DataFrame) -> WordVectors:
         return dataclasses.replace(self, vocab=vocab)
