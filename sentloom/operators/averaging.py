@@ -23,6 +23,8 @@ from ..functions.subword import MAX_NGRAMS, buckets, hashed_ngrams
 from ..sources.vectors import BROADCAST_BYTES, WordVectors
 
 STEP = 1 << 15  # tokens whose vectors are gathered at once
+MADE_BYTES = 32 << 20  # of vectors that are made at once for words outside a vocabulary
+HASHED = 1 << 13  # words whose n-grams are hashed at once
 HOT_WORDS = 4096  # the most frequent words, whose vectors are always sent along
 
 
@@ -45,21 +47,23 @@ class _Table:
         self.size = self.vectors.shape[1]
         self.top = float(self.weights.max(initial=0.0))
         self.grams, self.shape = None if grams is None else grams["vectors"], shape  # shape: buckets, least and most characters, most n-grams
-        self.step = STEP
+        self.step = STEP if grams is None else max(STEP, MADE_BYTES // (8 * self.size))
 
     def made(self, words: list[str]) -> np.ndarray:
         """Vectors of words outside the vocabulary: the largest weight times the mean of their n-grams' vectors; zero without n-grams."""
-        of, bucket = hashed_ngrams(words, *self.shape)
         out = np.zeros((len(words), self.size))
-        size = np.bincount(of, minlength=len(words))
-        begin = np.cumsum(size) - size
-        for a in range(0, len(words), 1024):
-            b = min(a + 1024, len(words))
-            lo, hi = int(begin[a]), int(begin[b - 1] + size[b - 1])
-            some = np.flatnonzero(size[a:b])
-            if hi > lo:
-                out[a + some] = np.add.reduceat(self.grams[bucket[lo:hi]].astype(np.float64), begin[a + some] - lo)
-        return out * (self.top / np.maximum(size, 1))[:, None]
+        for a in range(0, len(words), HASHED):
+            of, bucket = hashed_ngrams(words[a : a + HASHED], *self.shape)
+            size = np.bincount(of, minlength=len(words[a : a + HASHED]))
+            begin = np.cumsum(size) - size
+            for x in range(0, len(size), 1024):
+                y = min(x + 1024, len(size))
+                lo, hi = int(begin[x]), int(begin[y - 1] + size[y - 1])
+                some = np.flatnonzero(size[x:y])
+                if hi > lo:
+                    out[a + x + some] = np.add.reduceat(self.grams[bucket[lo:hi]].astype(np.float64), begin[x + some] - lo)
+            out[a : a + len(size)] *= (self.top / np.maximum(size, 1))[:, None]
+        return out
 
     def weighted(self, place: np.ndarray) -> np.ndarray:
         return self.vectors[place].astype(np.float64) * self.weights[place][:, None]

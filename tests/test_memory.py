@@ -8,8 +8,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from sentloom.functions import mapped
+from sentloom.functions.subword import hashed_ngrams
 from sentloom.operators import averaging, vocabulary
-from sentloom.sources.vectors import word_vectors
+from sentloom.sources.vectors import WordVectors, word_vectors
 
 
 def table(spark, n: int, size: int):
@@ -48,6 +49,32 @@ def test_packed_arrays(where, spark):
         assert got[name].dtype == x.dtype and np.array_equal(got[name], x) and got[name].flags.aligned
 
 
+def test_words_outside_are_made_in_pieces(spark):
+    """What is held at once follows from the size of a piece, not from the words of a batch."""
+    wv, _ = table(spark, 10, 64)
+    grams = pa.table({"bucket_id": pa.array(range(500), pa.int64()), "vector": list(np.random.default_rng(5).standard_normal((500, 64)).astype(np.float32))})
+    wv = WordVectors(wv.vocab, 64, wv.words, spark.createDataFrame(grams), 3, 6, 500)
+    held = averaging._Tables(wv).table()
+    lists = [[f"other{i * 997 % 99_991}x{k}" for i in range(k, k + n)] for k, n in enumerate([60_000, 0, 3, 140_000, 1000, 100_000, 2])]
+    batch = pa.array(lists, pa.list_(pa.string()))
+    tracemalloc.start()
+    sums, known = held.sums(batch)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 160 << 20  # the words' own vectors are 154 MB, and what hashing all of them takes is several times that
+    assert known.tolist() == [len(x) for x in lists]
+    vectors = np.array(grams.column("vector").to_pylist())
+    for at in (2, 4, 6):
+        exp = np.zeros(64)
+        for w in lists[at]:
+            _, ids = hashed_ngrams([w], 500)
+            exp += vectors[ids].mean(axis=0)
+        assert np.allclose(sums[at], exp, atol=1e-9)
+    some, few = held.sums(batch, 100)
+    assert few.tolist() == [min(100, len(x)) for x in lists]
+    assert np.allclose(some[2], sums[2]) and np.allclose(some[4], held.sums(pa.array([lists[4][:100]], pa.list_(pa.string())))[0][0])
+
+
 def test_size_of_what_is_sent(spark):
     wv, _ = table(spark, 10, 64)
     assert wv.bytes == 10 * (4 * 64 + 64)
