@@ -23,6 +23,7 @@ from ..functions.subword import MAX_NGRAMS, buckets, hashed_ngrams
 from ..sources.vectors import BROADCAST_BYTES, WordVectors
 
 STEP = 1 << 15  # tokens whose vectors are gathered at once
+LOOKED_UP = 1 << 20  # words that are looked up at once
 MADE_BYTES = 32 << 20  # of vectors that are made at once for words outside a vocabulary
 HASHED = 1 << 13  # words whose n-grams are hashed at once
 HOT_WORDS = 4096  # the most frequent words, whose vectors are always sent along
@@ -85,6 +86,15 @@ class _Table:
         cuts = words.offsets.to_numpy()
         cuts = cuts - cuts[0]
         every = words.flatten()
+        got, a = [(np.zeros((0, self.size)), np.zeros(0, np.int64))], 0
+        while a < len(words):  # as many sentences as have LOOKED_UP words
+            b = max(a + 1, int(np.searchsorted(cuts, cuts[a] + LOOKED_UP, "right")) - 1)
+            got.append(self.sums_of(every.slice(cuts[a], cuts[b] - cuts[a]), cuts[a : b + 1] - cuts[a], most))
+            a = b
+        return np.concatenate([x for x, _ in got]), np.concatenate([n for _, n in got])
+
+    def sums_of(self, every: pa.Array, cuts: np.ndarray, most: int | None) -> tuple[np.ndarray, np.ndarray]:
+        """sums() of the lists that lie between cuts of all their words."""
         place = pc.index_in(every, value_set=self.words.cast(every.type)).fill_null(-1).to_numpy()
         if self.grams is None:
             known = place >= 0
@@ -205,6 +215,7 @@ def _sums_here(corpus: DataFrame, wv: WordVectors, keep: list[str], most_words:
             sums, known = table.sums(_lists(batch.column(len(keep))), most_words)
             columns = [batch.column(i) for i in range(len(keep))]
             yield pa.RecordBatch.from_arrays([*columns, _array(sums), pa.array(known, pa.int64())], names=[*keep, "sums", "known"])
+            del batch, columns, sums, known  # before the next batch is read
             trim()
 
     return spread(source).mapInArrow(run, out)

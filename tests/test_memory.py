@@ -75,6 +75,24 @@ def test_words_outside_are_made_in_pieces(spark):
     assert np.allclose(some[2], sums[2]) and np.allclose(some[4], held.sums(pa.array([lists[4][:100]], pa.list_(pa.string())))[0][0])
 
 
+def test_words_are_looked_up_in_pieces(spark):
+    wv, rows = table(spark, 10, 8)
+    held = averaging._Tables(wv).table()
+    n = 12_000_000
+    offsets = np.linspace(0, n, 1001).astype(np.int32)
+    words = pa.DictionaryArray.from_arrays(pa.array(np.arange(n, dtype=np.int32) % 11), ["w0", "w1", "w2", "w3", "w4", "w5", "w6", "w7", "w8", "w9", "?"]).dictionary_decode()
+    batch = pa.ListArray.from_arrays(pa.array(offsets), words)
+    tracemalloc.start()
+    sums, known = held.sums(batch)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 64 << 20  # eight bytes for each of the batch's words are 92 MB
+    vectors = np.vstack([np.array(rows.column("vector").to_pylist(), float), np.zeros(8)])
+    for i in (0, 500, 999):
+        at = np.arange(offsets[i], offsets[i + 1]) % 11
+        assert known[i] == (at < 10).sum() and np.allclose(sums[i], vectors[at].sum(axis=0))
+
+
 def test_size_of_what_is_sent(spark):
     wv, _ = table(spark, 10, 64)
     assert wv.bytes == 10 * (4 * 64 + 64)
